@@ -53,9 +53,39 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(_table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.orderminhash import near_classes
+
+    return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.warc import captures, resolve
+
+    got = resolve(captures(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    flat = "array_join(transform(array_sort(map_entries(headers)), e -> concat(e.key, '=', e.value)), ';')"
+    return got.selectExpr("record_id", "url_key", "ts", "response_id", "response_ts", "status", f"{flat} as headers")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.mixing import DOMAINS, mixing_rates
+
+    scored, r = mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", scored["_tokens"].alias("n_tokens"), *(scored["_p"][i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), r.alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_substring_doubling, op5_chat_formatting, op8_suffix_bwt, op9_token_files, op10_language_id)}
+    ops = (op1_decontamination, op2_order_minhash, op3_quality_rules, op4_substring_doubling, op5_chat_formatting)
+    return {f.__name__: f for f in (*ops, op6_warc_revisits, op7_mixing, op8_suffix_bwt, op9_token_files, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docloom.llm.sql import OP4_SQL, OP5_SQL, OP6_SQL
+
+    return {"op4_substring_doubling": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_warc_revisits": OP6_SQL}
