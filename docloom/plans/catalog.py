@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.plans.registry import ORACLES, QUERIES
+
+MODULES = ("scans",)
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"docloom.plans.{m}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return ORACLES
