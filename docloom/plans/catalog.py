@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("scans",)
+MODULES = ("scans", "projections", "retrieval", "corpus", "docids", "instances", "positives")
 
 
 def _load() -> None:

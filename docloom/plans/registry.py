@@ -53,7 +53,9 @@ def query(sql: str | None = None, tables: tuple[str, ...] = (), **params) -> Cal
         if sql is not None:
             head = ctes(*tables, **params) if tables else ""
             body = sql.strip()
-            if head:
+            if head and body.lower().startswith("with recursive "):
+                body = f"with recursive {head},\n{body[15:]}"
+            elif head:
                 body = f"with {head},\n{body[5:]}" if body.lower().startswith("with ") else f"with {head}\n{body}"
             ORACLES[f.__name__] = body
         return f
