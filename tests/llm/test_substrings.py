@@ -89,6 +89,19 @@ def test_bytes(spark, window):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == brute_bytes(rows, window)
 
 
+def test_heavy_grams_are_cut(spark, monkeypatch):
+    from docloom.llm import blocks
+
+    def low(group):
+        blocks.HEAVY = 2  # in the worker
+        return blocks.count_votes(group)
+
+    monkeypatch.setattr("docloom.llm.suffixes.voted", lambda b: b.groupBy("bucket").applyInArrow(low, "blk int, payload binary"))
+    rows = corpus()
+    got = remove_later_copies(spark.createDataFrame(rows, KINDS))
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == brute_bytes(rows, 50)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], KINDS)
     assert remove_repeats(none).collect() == [] and remove_later_copies(none).collect() == []
