@@ -14,6 +14,8 @@ rows are repeated turns. A null conv_id is a conversation of its own. An empty t
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and threads of the library keep memory of their own
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 FORMATTED = "conv_id long, input_ids array<int>, loss_first array<int>, loss_last array<int>, formatted_chars long"
@@ -77,10 +80,15 @@ class Reader:
     """Token ids back to text, byte for byte."""
 
     def __init__(self, path: str):
-        t = chat_tokenizer(path)
-        values, added = _byte_values(), t.get_added_tokens_decoder()
-        self.bytes = {i: x.encode() if i in added else bytes(values[c] for c in x) for x, i in t.get_vocab().items()}
-        self.marks = {x: t.token_to_id(x) for x in (START, SEP, END)}
+        # from the vocabulary file alone: the library itself is not needed to read
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        values = _byte_values()
+        added = {x["id"]: x["content"] for x in data.get("added_tokens", [])}
+        self.bytes = {i: bytes(values[c] for c in x) for x, i in data["model"]["vocab"].items() if i not in added}
+        first = max(*self.bytes, *added) + 1  # the marks follow all ids, as the library adds them
+        self.marks = {x: first + i for i, x in enumerate((START, SEP, END))}
+        self.bytes |= {i: x.encode() for i, x in added.items()} | {i: x.encode() for x, i in self.marks.items()}
 
     def text(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
