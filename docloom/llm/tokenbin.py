@@ -5,7 +5,7 @@ says which ids go on; level 1 holds the next chunk of those alone, and so on. A
 512-bit block) turns "the i-th id goes on" into its place in the next level, so any token is read by at most one
 lookup and one rank a level, without decoding a block.
 
-A file covers a run of documents in ascending (doc_id, text) order, null ids first: header, document directory
+A file covers a run of documents in ascending order of doc_id, null ids first (texts of one id by their hash): header, document directory
 (ids, null flags and running token counts), then the levels. Files travel as binary values of a table in the shared
 folder, with their place in the order beside them, so that Spark's commit protocol covers them and any store serves.
 A null or empty text has no ids but the end id. An empty table gives an empty file table.
@@ -162,8 +162,9 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
         if held:
             yield flush()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = id_text(docs, id_col, text_col).repartitionByRange(parts(docs), *order).sortWithinPartitions(*order)
+    # ranges are cut by a hash of the text where ids are equal: their bounds go to the driver, texts must not
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = id_text(docs, id_col, text_col).repartitionByRange(parts(docs), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     return materialise(dealt.mapInArrow(run, FILES), "tokens")
 
 
