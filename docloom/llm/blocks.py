@@ -112,18 +112,22 @@ def messages(blk: int, made: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([b for b, _ in made], pa.int32()), "blk": pa.array([blk] * len(made), pa.int32()), "payload": pa.array([x for _, x in made], pa.binary())})
 
 
-def ballots(blk: int, keys: np.ndarray, sure: np.ndarray, n_buckets: int, check: np.ndarray | None = None) -> pa.Table:
-    """A block's distinct sorted keys, one message a bucket; sure: the block alone knows that the key repeats."""
+def ballots(blk: int, keys: np.ndarray, sure: np.ndarray, n_buckets: int, check: np.ndarray | None = None, weight: np.ndarray | None = None) -> pa.Table:
+    """A block's distinct sorted keys, one message a bucket; sure: the block alone knows that the key repeats; weight: how much the block will send under a key."""
     at = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
     made = []
     for b in np.nonzero(np.diff(at))[0].tolist():
         s = slice(at[b], at[b + 1])
-        made.append((b, pack(keys=planes(keys[s]), sure=np.packbits(sure[s]), **({} if check is None else {"check": check[s]}))))
+        made.append((b, pack(keys=planes(keys[s]), sure=np.packbits(sure[s]), **{k: x[s] for k, x in (("check", check), ("weight", weight)) if x is not None})))
     return messages(blk, made)
 
 
+#: Weight of a key from which on it is called heavy; about an eighth of what a bucket should get.
+HEAVY = 8000
+
+
 def count_votes(group: pa.Table) -> pa.Table:
-    """For one bucket: tells each block which of its keys repeat, in that block or between blocks. A key with a check repeats only if both agree."""
+    """For one bucket: tells each block which of its keys repeat, in that block or between blocks, and which are heavy. A key with a check repeats only if both agree."""
     blks = group.column("blk").to_pylist()
     got = [unpack(x.as_py()) for x in group.column("payload")]
     keys = [unplanes(x["keys"]) for x in got]
@@ -139,11 +143,17 @@ def count_votes(group: pa.Table) -> pa.Table:
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
     again |= sure
+    heavy = None
+    if "weight" in got[0]:
+        weight = np.concatenate([x["weight"] for x in got]).astype(np.int64)
+        first = np.nonzero(np.append(True, ~same))[0]
+        heavy = np.empty(len(key), bool)
+        heavy[order] = np.repeat(np.add.reduceat(weight[order], first) > HEAVY, np.diff(np.append(first, len(key))))
     made, at = [], 0
     for blk, k, n in zip(blks, keys, sizes.tolist(), strict=True):
         mine = again[at : at + n]
         if mine.any():
-            made.append((blk, pack(keys=planes(k[mine]), **({} if check is None else {"check": check[at : at + n][mine]}))))
+            made.append((blk, pack(keys=planes(k[mine]), **{c: x[at : at + n][mine] for c, x in (("check", check), ("heavy", heavy)) if x is not None})))
         at += n
     return pa.table({"blk": pa.array([b for b, _ in made], pa.int32()), "payload": pa.array([x for _, x in made], pa.binary())})
 
@@ -152,14 +162,14 @@ def voted(ballot: DataFrame) -> DataFrame:
     return ballot.groupBy("bucket").applyInArrow(count_votes, "blk int, payload binary")
 
 
-def answers(group: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
-    """The sorted keys that repeat, and their checks, of what the buckets answered a block."""
+def answers(group: pa.Table, beside: str = "check") -> tuple[np.ndarray, np.ndarray | None]:
+    """The sorted keys that repeat, and their checks (or heavy), of what the buckets answered a block."""
     got = [unpack(x.as_py()) for x in group.column("payload")]
     if not got:
         return np.zeros(0, np.uint64), None
     keys = np.concatenate([unplanes(x["keys"]) for x in got])
     order = np.argsort(keys)
-    return keys[order], np.concatenate([x["check"] for x in got])[order] if "check" in got[0] else None
+    return keys[order], np.concatenate([x[beside] for x in got])[order] if beside in got[0] else None
 
 
 def among(x: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ hash among its 16-byte grams, which depends on the window's bytes alone, so equa
 the blocks vote on these grams (blocks.py); windows whose gram occurs in one document alone cannot repeat elsewhere
 and stop there. What is left travels as segments, runs of windows with one gram, each distinct segment once a block,
 with the least id that holds it. A bucket merges the shards of all blocks; only rows that begin a window enter.
+A gram under which very many segments would travel (the vote tells) is heavy: its segments are cut again, by the
+least of the window's other grams, and spread over the buckets, so that no bucket grows with a common phrase.
 
 A null text is empty. A null id is no smaller than any id, and so removes nothing. Rows with equal ids never remove
 each other's bytes. Repeated rows with other ids are documents like all others.
@@ -73,10 +75,12 @@ class Bytes:
         n = len(self.data)
         if n < window:
             self.start = self.size = self.doc = np.zeros(0, np.int64)
-            self.gram = np.zeros(0, np.uint64)
+            self.gram = self.origin = np.zeros(0, np.uint64)
             return
         self.roll = Rolling(mixed(self.data.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
-        least = sliding_min(self.roll.windows(gram), window - gram + 1)
+        self.window, self.span = window, window - gram + 1
+        self.grams = self.roll.windows(gram)
+        least = sliding_min(self.grams, self.span)
         fits = np.zeros(n - window + 1, bool)
         for a, z in zip(self.begins.tolist(), self.ends.tolist(), strict=True):
             fits[a : max(z - window + 1, a)] = True
@@ -92,6 +96,36 @@ class Bytes:
         self.gram = least[self.start]
         self.doc = np.searchsorted(self.ends, self.start, side="right")
 
+        self.origin = np.zeros(len(self.start), np.uint64)
+
+    def keep(self, which: np.ndarray) -> None:
+        self.start, self.size, self.gram, self.doc, self.origin = (x[which] for x in (self.start, self.size, self.gram, self.doc, self.origin))
+
+    def cut_heavy(self, heavy: np.ndarray) -> None:
+        """Cuts the segments that heavy says by the least of their windows' other grams; origin keeps the heavy gram."""
+        if not heavy.any():
+            return
+        start, size, own = self.start[heavy], self.size[heavy], self.gram[heavy]
+        many = size - (self.window - self.span)  # grams of a segment
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+        g = self.grams[at]
+        g = np.where(g == np.repeat(own, many), np.uint64(2**64 - 1), mixed(g ^ np.uint64(0xC6A4A7935BD1E995)))
+        least = sliding_min(g, self.span)
+        n = size - self.window + 1
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        least = least[inside + np.repeat(np.cumsum(many) - many, n)]
+        new = inside == 0
+        new[1:] |= least[1:] != least[:-1]
+        (cut,) = np.nonzero(new)
+        of = np.repeat(np.arange(len(start)), n)[cut]
+        runs = np.diff(np.append(cut, len(least)))
+        keep = ~heavy
+        self.doc = np.concatenate([self.doc[keep], self.doc[heavy][of]])
+        self.start = np.concatenate([self.start[keep], start[of] + inside[cut]])
+        self.size = np.concatenate([self.size[keep], runs + self.window - 1])
+        self.origin = np.concatenate([self.origin[keep], own[of]])
+        self.gram = np.concatenate([self.gram[keep], mixed(own[of] ^ mixed(least[cut] + np.uint64(1)))])
+
     def content(self, which: np.ndarray) -> np.ndarray:
         return mixed(self.roll(self.start[which], self.size[which]) ^ (self.size[which].astype(np.uint64) << np.uint64(40)))
 
@@ -111,13 +145,16 @@ def remove_later_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
         first[1:] = g[1:] != g[:-1]
         (at,) = np.nonzero(first)
         last = np.append(at[1:], len(g)) - 1
-        return ballots(table.column("blk")[0].as_py(), g[at], d[at] != d[last] if len(at) else np.zeros(0, bool), n_blocks)
+        return ballots(table.column("blk")[0].as_py(), g[at], d[at] != d[last] if len(at) else np.zeros(0, bool), n_blocks, weight=(last - at + 1).astype(np.uint32))
 
     def send(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows or not reply.num_rows:
             return messages(0, [])
         b = Bytes(table, window, gram)
-        (which,) = np.nonzero(among(b.gram, answers(reply)[0]))
+        held, heavy = answers(reply, "heavy")
+        b.keep(among(b.gram, held))
+        b.cut_heavy(among(b.gram, held[heavy]))
+        which = np.arange(len(b.gram))
         content, ids = b.content(which), b.ids[b.doc[which]]
         order = np.lexsort((ids, content))
         which, content, ids = which[order], content[order], ids[order]
@@ -134,7 +171,7 @@ def remove_later_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
         for k in np.nonzero(np.diff(cut))[0].tolist():
             w = order[cut[k] : cut[k + 1]]
             text = b"".join([b.data[i : i + n].tobytes() for i, n in zip(b.start[which[w]].tolist(), b.size[which[w]].tolist(), strict=True)])
-            made.append((k, pack(gram=b.gram[which[w]], content=content[w], size=b.size[which[w]].astype(np.int32), least=least[w], several=several[w], text=np.frombuffer(text, np.uint8))))
+            made.append((k, pack(gram=b.gram[which[w]], origin=b.origin[which[w]], content=content[w], size=b.size[which[w]].astype(np.int32), least=least[w], several=several[w], text=np.frombuffer(text, np.uint8))))
         return messages(table.column("blk")[0].as_py(), made)
 
     def merge(group: pa.Table) -> pa.Table:
@@ -191,7 +228,7 @@ def remove_later_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
             tell = (run_min[pick] < x["least"][of]) | x["several"][of]
             if tell.any():
                 p = pick[tell]
-                made.append((blk, pack(content=x["content"][of[tell]], off=run_off[p].astype(np.int32), n=run_len[p].astype(np.int32), least=run_min[p])))
+                made.append((blk, pack(heavy=np.unique(x["origin"][of[tell]]), content=x["content"][of[tell]], off=run_off[p].astype(np.int32), n=run_len[p].astype(np.int32), least=run_min[p])))
         return pa.table({"blk": pa.array([b for b, _ in made], pa.int32()), "payload": pa.array([x for _, x in made], pa.binary())})
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -202,6 +239,7 @@ def remove_later_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
         gone = np.zeros(len(b.data) + 1, bool)
         if reply.num_rows and len(b.start):
             got = [unpack(x.as_py()) for x in reply.column("payload")]
+            b.cut_heavy(among(b.gram, np.unique(np.concatenate([x["heavy"] for x in got]))))
             key, off, n, least = (np.concatenate([x[c] for x in got]) for c in ("content", "off", "n", "least"))
             order = np.argsort(key, kind="stable")
             key, off, n, least = key[order], off[order].astype(np.int64), n[order].astype(np.int64), least[order]
