@@ -10,7 +10,7 @@ from docloom.plans import bridge
 from docloom.plans.registry import query
 from docloom.plans.retrieval import _truth
 
-VAULT_QUOTAS = [(1, 20, 3), (21, 100, 2), (101, 200, 3)]
+BAND_QUOTAS = [(1, 20, 3), (21, 100, 2), (101, 200, 3)]
 
 _TRUTH = "truth as (select q.qid, d.docid from queries q join docs d on q.item_id % 10 = d.doc_id % 97)"
 _TARGET = "tgt as (select 'd' || doc_id as docid, source || '/' || lang || '/' || (doc_id % 50) as target from documents where doc_id % 14 <> 0)"
@@ -47,13 +47,13 @@ _ALL, _SOME = "true", "(rank < 101 or ascii(substr(qid, 2)) % 3 <> 0)"
 @query(_DRAW.format(extra=_SOME) + " select qid, docid, rank::int as rank, band::int as band from n where n_picked = 8 and picked", ("run",))
 def stratified_negatives(spark, d):
     rows = _candidates(spark, d).where("state = 'usable' and (rank < 101 or ascii(substring(qid, 2)) % 3 <> 0)").select("qid", "docid", "rank")
-    return mining.stratified(rows, VAULT_QUOTAS, "7")
+    return mining.stratified(rows, BAND_QUOTAS, "7")
 
 
 @query(_DRAW.format(extra=_SOME) + ", f as (select *, row_number() over (partition by qid, picked order by sha256('7|' || qid || '|fill|' || docid), docid) as spare from n), g as (select *, picked or spare <= 8 - n_picked as used from f), h as (select *, count(*) filter (used) over (partition by qid) as n_used from g) select qid, docid, rank::int as rank, band::int as band from h where n_used = 8 and used", ("run",))
 def stratified_negatives_fill(spark, d):
     rows = _candidates(spark, d).where("state = 'usable' and (rank < 101 or ascii(substring(qid, 2)) % 3 <> 0)").select("qid", "docid", "rank")
-    return mining.stratified(rows, VAULT_QUOTAS, "7", fill=True)
+    return mining.stratified(rows, BAND_QUOTAS, "7", fill=True)
 
 
 _MS = f"""with {_TRUTH}, hits as (select r.qid, r.docid, r.rank, case when rank <= 100 then 'top' when rank <= 500 then 'mid' when rank <= 1000 then 'low' end as band from run r where qid in (select qid from truth) and (qid, docid) not in (select qid, docid from truth)),
@@ -146,7 +146,7 @@ def url_dpo_pairs(spark, d):
     ps = _truth(spark, d).join(tgt, "docid").groupBy("qid").agg(F.array_sort(F.collect_set("target")).alias("positives"))
     source = bridge.queries(spark, d).select("qid", F.concat(F.lit("d"), F.col("item_id") * 3).alias("docid")).join(tgt, "docid").select("qid", F.col("target").alias("source_url"))
     res = bridge.run(spark, d).join(tgt, "docid").select("qid", F.col("target").alias("url"), "rank").join(ps, "qid").join(source, "qid")
-    return mining.url_pairs(res, VAULT_QUOTAS, "4")
+    return mining.url_pairs(res, BAND_QUOTAS, "4")
 
 
 @query(f"""with {_TRUTH}, ps as (select qid, list(docid order by docid) as positives from truth group by 1),

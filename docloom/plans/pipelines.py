@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import bm25, hybrid, instances, metrics, mining, positives
-from docloom.plans.mining import VAULT_QUOTAS
+from docloom.plans.mining import BAND_QUOTAS
 
 
-def mine_bm25(queries: DataFrame, docs: DataFrame, truth: DataFrame, targets: DataFrame, k: int = 200, k1: float = 0.82, b: float = 0.68, quotas=VAULT_QUOTAS, seed: str = "13", fill: bool = False) -> tuple[DataFrame, DataFrame]:
+def mine_bm25(queries: DataFrame, docs: DataFrame, truth: DataFrame, targets: DataFrame, k: int = 200, k1: float = 0.82, b: float = 0.68, quotas=BAND_QUOTAS, seed: str = "13", fill: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, stats): preference pairs of queries(qid, query) over docs(docid, contents). A query's chosen document is a
     drawn positive of truth(qid, docid); rejected ones are drawn from usable hits by bands; targets(docid, target)."""
     judged = mining.judged_candidates(bm25.top_k(queries, docs, k, k1, b), truth, targets)
