@@ -120,15 +120,15 @@ def score(texts: list[str | None], model: dict, evidence: int = 64) -> tuple[lis
     return [UND if x else model["langs"][i] for x, i in zip(none, best, strict=True)], np.where(none, 0.0, p[np.arange(len(texts)), best])
 
 
-def scorer(spark, model: dict, keep: list[str]) -> Callable:
-    """A function for mapInArrow: the columns of keep, lang_pred and score, for each row."""
+def scorer(spark, model: dict, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> Callable:
+    """A function for mapInArrow: the columns of keep, then language and score under these names, for each row."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 langs, p = score(b.column("text").to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(p)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(p)], [*keep, *names])
 
     return run
 
@@ -153,8 +153,9 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataF
     base = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where(~held_out(F.col("id")))
     model = train(base, **options)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    got = docs.mapInArrow(scorer(docs.sparkSession, model, columns), f"{types}, lang_pred string, score double")
-    return got.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*columns)
+    names = tuple(next(x for x in (n, *(f"{n}_{i}" for i in range(len(columns) + 1))) if x not in columns) for n in ("lang_pred", "score"))  # docs may have columns of these names
+    got = docs.mapInArrow(scorer(docs.sparkSession, model, columns, names), f"{types}, `{names[0]}` string, `{names[1]}` double")
+    return got.where((F.col(names[0]) != UND) & (F.col(names[1]) >= min_score)).select(*columns)
 
 
 def crc_mod(doc_id: int) -> int:

@@ -11,7 +11,8 @@ slot and at what is carried to it. A URL with a third of all captures is spread
 
 Canonical URL: scheme and host in lower case, no "www.", default port, fragment or trailing slash, query parameters
 sorted. Records without a URL or time resolve to nothing. Of responses with the same URL and time the one with the
-greatest id counts; null ids come first. Repeated revisits are resolved each. A null or empty body is a body.
+greatest id counts; null ids come first. Repeated revisits are resolved each. Null headers are no
+headers. A null or empty body is a body.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ def canonical(url: Column) -> Column:
 def resolve(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(record_id, url_key, ts, response_id, response_ts, status, headers) per revisit of records(RECORD); status is
     resolved, validator_mismatch or no_response. Bodies are fetched by response_id with with_bodies()."""
-    base = records.select("record_id", "kind", canonical(F.col("url")).alias("url_key"), "ts", "headers")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    base = records.select("record_id", "kind", canonical(F.col("url")).alias("url_key"), "ts", F.coalesce("headers", none).alias("headers"))
     low, high = base.agg(F.min("ts"), F.max("ts")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // slots))
     base = base.withColumn("slot", F.floor((F.col("ts") - F.lit(low or 0)) / width))
