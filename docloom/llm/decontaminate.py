@@ -7,7 +7,7 @@ they cover `min_tokens` tokens, or the whole item where it is shorter. A match c
 each value of the item stands for one value of the document, and the other way round, over the whole match; a
 verbatim copy maps each value to itself. Windows with more than four placeholders say too little and are not joined.
 
-A name is a capitalised word that a lower-case letter, a digit or one of , ; : and a blank precede. Items with fewer
+Digits within a word are part of it. A name is a capitalised word that a lower-case letter, a digit or one of , ; : and a blank precede. Items with fewer
 than eight tokens are too short to search for. Null texts and null items match nothing. Repeated rows are judged
 together by (doc_id, text); null ids are judged too. Equal hits of several items give a row each.
 """
@@ -30,7 +30,7 @@ def tokens(text: Column) -> Column:
     """Template tokens in order; a placeholder is MARK, its type, and the value it stands for."""
     named = F.regexp_replace(text, _NAME, f"{MARK}p$1")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", "\x03")
-    numbered = F.regexp_replace(joined, r"[$€£]?([0-9][0-9\x03]*)(?:\s?(" + UNITS + r")(?![\p{L}\p{N}]))?", f" {MARK}n$1 {MARK}u$2 ")
+    numbered = F.regexp_replace(joined, r"(?<![\p{L}\p{N}])[$€£]?([0-9][0-9\x03]*+)(?:\s?(" + UNITS + r")(?![\p{L}\p{N}]))?(?!\p{L})", f" {MARK}n$1 {MARK}u$2 ")
     whole = F.when(text.rlike("[0-9]"), numbered).otherwise(named)
     return F.filter(F.split(F.lower(whole), r"[^\p{L}\p{N}\x02\x03]+"), lambda t: (t != "") & (t != f"{MARK}u"))
 
