@@ -10,7 +10,8 @@ for targets T_d, natural totals S_d and all tokens T. A step takes one distribut
 document's rate is a function of its posteriors and the steps so far, so rates are computed where they are needed
 and never stored or shuffled. Steps end when the residual settles.
 
-A null text has no tokens, the priors as posteriors, and weighs nothing. Unlabelled domains keep a smoothed prior.
+A null text has no tokens, the priors as posteriors, and weighs nothing. A domain without labels has no posterior, and its
+target goes to the others.
 Repeated rows and ids count each; a labelled id that several documents have teaches with each of them. With an empty table there are no rows.
 """
 
@@ -45,8 +46,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     taught = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id")
     cells = taught.select("domain", F.explode_outer(F.array_append(_buckets(F.coalesce("text", F.lit(""))), F.lit(BUCKETS))).alias("bucket")).groupBy("domain", "bucket").count()
     count = {(r["domain"], r["bucket"]): r["count"] for r in cells.collect()}  # 3 x (buckets + 1) rows at most
-    docs_of = {d: count.get((d, BUCKETS), 0) + 1 for d in DOMAINS}
-    model: dict = {"prior": [math.log(docs_of[d] / sum(docs_of.values())) for d in DOMAINS], "logp": []}
+    docs_of = {d: count.get((d, BUCKETS), 0) for d in DOMAINS}
+    known_docs = sum(docs_of.values())
+    # a domain that no label teaches gets no posterior; without any label all is the first domain
+    model: dict = {"prior": [math.log(n / known_docs) if n else -1e9 for n in docs_of.values()] if known_docs else [0.0, *[-1e9] * (len(DOMAINS) - 1)], "logp": []}
     for d in DOMAINS:
         c = [count.get((d, b), 0) + alpha for b in range(BUCKETS)]
         total = sum(c)
@@ -95,12 +98,17 @@ def fit_rates(members: DataFrame, targets: dict[str, float], step: float = 0.8,
     steps: list[list[float]] = []
     if not whole:
         return steps
-    want = [targets[d] * whole for d in DOMAINS]
+    # targets of domains that no document may belong to are shared out among the others
+    there = [n > 1e-9 * whole for n in natural]
+    asked = sum(targets[d] for d, t in zip(DOMAINS, there, strict=True) if t)
+    if not asked:
+        return steps
+    want = [targets[d] / asked * whole if t else 0.0 for d, t in zip(DOMAINS, there, strict=True)]
     now = natural
     while len(steps) < most_steps:
         if max(abs(a - b) for a, b in zip(now, want, strict=True)) < enough * whole:
             break
-        steps.append([(a - b) / max(s, 1e-9 * whole) for a, b, s in zip(now, want, natural, strict=True)])
+        steps.append([(a - b) / s if t else 0.0 for a, b, s, t in zip(now, want, natural, there, strict=True)])
         last, now = now, totals(steps)
         if max(abs(a - b) for a, b in zip(now, last, strict=True)) < 0.02 * enough * whole:
             break
