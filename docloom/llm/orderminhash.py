@@ -12,9 +12,10 @@ similarity is L / (n + m - L), at least 0.8 for a link. Shingles are compared by
 
 Copies of a text are one node, found by a digest, and never expanded. Within a band's bucket every text is compared
 with a pivot, not with every other. The pivot is the text that meets most others over all its buckets: the copies of an
-edited text meet the text itself more often than each other. Rounds follow for buckets that still hold several classes,
-with other pivots drawn among those that meet many, until a round finds no link. Classes are the connected components of the links;
-a later round's links join classes, so only the graph of classes is searched for components then.
+edited text meet the text itself more often than each other. Rounds follow with more pivots each, drawn without
+replacement by a hash, until every bucket's members that were no pivot yet are of one class: by then every pair that
+shares a bucket is of one class, or was tested, or is ruled out by its sizes. Classes are the connected components of
+the links; a later round's links join classes, so only the graph of classes is searched for components then.
 
 A text without a word, null included, is in no class but its own row's; a text of fewer than 5 words is only ever the
 copy of an equal one. The class id is the least doc_id of the class (null if no member has one). Repeated rows are
@@ -37,8 +38,8 @@ from docloom.llm.components import components
 from docloom.llm.substrings import Words
 
 SHINGLE, TAKEN, ROWS, BANDS, SIMILARITY = 5, 2, 2, 20, 0.8
-#: Pivots of a bucket in each round after the first.
-PIVOTS = 2
+#: A bucket's pivots in a round after the first: this to the power of the round.
+GROWTH = 4
 
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
@@ -128,8 +129,9 @@ def _sketches(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                got = [sketch(s, bands, rows) if len(s) else None for s in shingles(b.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("worded"), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "key", "worded", "bands"])
+                seqs = shingles(b.column("text").to_pylist())
+                got = [sketch(s, bands, rows) if len(s) else None for s in seqs]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("worded"), pa.array([len(s) for s in seqs], pa.int32()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "key", "worded", "size", "bands"])
 
     return run
 
@@ -168,17 +170,19 @@ def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, max_rounds: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, max_rounds: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, class_id, class_size) for each row of docs; key is a digest of the row's text, null for null."""
     base = keyed(docs, id_col, text_col)
-    sketched = materialise(base.mapInArrow(_sketches(bands, rows), "doc_id long, key binary, worded boolean, bands array<long>"), "sketches")
+    sketched = materialise(base.mapInArrow(_sketches(bands, rows), "doc_id long, key binary, worded boolean, size int, bands array<long>"), "sketches")
     # one node per distinct text; the bands of copies are equal
-    nodes = sketched.where("worded").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
+    nodes = sketched.where("worded").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
     nodes = materialise(nodes, "nodes")
-    cells = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("band", "h"))
+    cells = nodes.where("bands is not null").select("key", "size", F.posexplode("bands").alias("band", "h"))
     shared = cells.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
     met_in = materialise(cells.join(shared, ["band", "h"]), "buckets")
-    cells = materialise(met_in.drop("n").join(met_in.groupBy("key").agg(F.sum("n").alias("meets")), "key"), "cells")
+    # the members of a bucket take turns as pivots by a hash, each once
+    turn = F.shiftright(F.pmod(F.xxhash64("key", "band"), F.lit(1 << 30)) * F.col("n"), 30)
+    cells = materialise(met_in.join(met_in.groupBy("key").agg(F.sum("n").alias("meets")), "key").withColumn("turn", turn), "cells")
     drop_table(met_in)
     seen = cells.select("key").distinct().join(nodes.select("key", "rep"), "key")
     same = (F.coalesce(base.doc_id, F.lit(-1)) == F.coalesce(F.col("r.rep"), F.lit(-1))) & (base.key == F.col("r.key"))
@@ -186,28 +190,41 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: f
     texts = materialise(texts.dropDuplicates(["key"]), "sequences")
 
     labels = None
-    tested, round_ = [], 0
-    while round_ < max_rounds:
-        pool = cells if labels is None else cells.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    tested, round_, below, upto = [], 0, 0, 0
+    while True:
+        if round_ == max_rounds:
+            raise RuntimeError("buckets still hold untested pairs")
+        if labels is not None:
+            below, upto = upto, upto + GROWTH**round_
+        pool = cells if labels is None else cells.where(f"n > 2 and turn >= {below}").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         label = F.col("key") if labels is None else F.col("label")
-        drawn = lambda i: F.struct(-F.floor(F.log2("meets")), F.xxhash64("key", "band", F.lit(round_ * PIVOTS + i)))  # noqa: B023, E731
-        ranks = [F.struct(-F.col("meets"), F.xxhash64("key"))] if labels is None else [drawn(i) for i in range(PIVOTS)]
-        firsts = F.array(*(F.min(F.struct(r.alias("rank"), F.col("key").alias("pivot"), label.alias("pivot_label"))) for r in ranks))
-        spread = F.min(label) != F.max(label)
-        pivots = pool.groupBy("band", "h").agg(firsts.alias("p"), spread.alias("open")).where("open").select("band", "h", F.inline("p")).drop("rank").distinct()
-        met = pool.join(pivots, ["band", "h"]).where(label != F.col("pivot_label")).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        if labels is None:
+            rank = F.struct(-F.col("meets"), F.xxhash64("key"))
+            firsts = F.min(F.struct(rank.alias("rank"), F.col("key").alias("pivot"), label.alias("pivot_label"), F.col("size").alias("pivot_size")))
+            pivots = pool.groupBy("band", "h").agg(firsts.alias("p")).select("band", "h", "p.pivot", "p.pivot_label", "p.pivot_size")
+        else:
+            # a bucket is done once its members without a turn so far are of one class
+            pool = materialise(pool.join(pool.groupBy("band", "h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band", "h"), ["band", "h"]), "pool")
+            if pool.isEmpty():
+                drop_table(pool)
+                break
+            pivots = pool.where(f"turn < {upto}").select("band", "h", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"), F.col("size").alias("pivot_size"))
+        # sizes further apart than the threshold allows rule a pair out, as in similarity()
+        near = F.least("size", "pivot_size") >= F.lit(least) * F.greatest("size", "pivot_size")
+        met = pool.join(pivots, ["band", "h"]).where((label != F.col("pivot_label")) & near).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         for old in tested:
             met = met.join(old, ["a", "b"], "left_anti")
         one, two = texts.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), texts.select(F.col("key").alias("b"), F.col("seq").alias("seq_b"))
         judged = materialise(met.join(one, "a").join(two, "b").mapInArrow(_verifier(least), "a binary, b binary, sim double"), "pairs")
         tested.append(judged.select("a", "b"))
         found = judged.where(F.col("sim") >= least).select("a", "b")
+        if labels is not None:
+            drop_table(pool)
         round_ += 1
-        if found.isEmpty():
-            if labels is None:
-                labels = materialise(found.select(F.col("a").alias("node"), F.col("b").alias("label")), "labels")
-            break
-        labels = components(found) if labels is None else joined_classes(labels, found)
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            labels = joined_classes(labels, found)
     drop_table(cells)
     drop_table(texts)
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"))

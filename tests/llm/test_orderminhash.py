@@ -108,3 +108,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i % 10 != 9] + [(100, i) for i in range(101, 200)] + [(5, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: i // 10 * 10 for i in range(30)}, **{i: 0 for i in range(100, 200)}}
+
+
+def test_every_pair_of_a_bucket_is_tested(spark):
+    # a hub of many texts that share a start draws the pivots; two near copies share their only bucket with it
+    rnd = random.Random(9)
+    start = [f"s{i}" for i in range(100)]
+    rows = [(i, " ".join(start + [f"x{rnd.randrange(10**6)}" for _ in range(30)])) for i in range(60)]
+    twin = start + [f"y{i}" for i in range(30)]
+    rows += [(100, " ".join(twin)), (101, " ".join([*twin[:-1], "z"]))]
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
+    texts = [t for _, t in sorted(rows)]
+    from docloom.llm.orderminhash import sketch
+
+    shared = [sketch(s, 1, 1)[0] for s in shingles(texts)]
+    assert shared[-1] == shared[-2] and shared.count(shared[-1]) > 10
+    assert got[101] == 100 and got[100] == 100 and all(got[i] == i for i in range(60))
