@@ -4,11 +4,12 @@ Numbers, the units that follow them, and names are replaced by typed placeholder
 has the same template. Windows of eight template tokens of all documents are hash-joined with those of the
 benchmark. Hits on one diagonal of a document and an item (the same distance between their places) are one match if
 they cover `min_tokens` tokens, or the whole item where it is shorter. A match counts if its slots are consistent:
-each value of the item stands for one value of the document, and the other way round, over the whole match; a
-verbatim copy maps each value to itself. Windows with more than four placeholders say too little and are not joined.
+each value of the item stands for one value of the document over the whole match; a verbatim copy maps each value to
+itself. A match of fewer than four words outside placeholders says too little and must be verbatim.
 
-Digits within a word are part of it. A name is a capitalised word that a lower-case letter, a digit or one of , ; : and a blank precede. Items with fewer
-than eight tokens are too short to search for. Null texts and null items match nothing. Repeated rows are judged
+Digits within a word are part of it. A name is a capitalised word. In an item, those that no lower-case letter, digit
+or one of , ; : and a blank precede may begin a sentence only: its windows are read with them as names and as words,
+the first word and the others apart. Items with fewer than eight tokens are too short to search for. Null texts and null items match nothing. Repeated rows are judged
 together by (doc_id, text); null ids are judged too. Equal hits of several items give a row each.
 """
 
@@ -17,18 +18,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MIN_TOKENS, MOST_SLOTS = 8, 13, 4
+WINDOW, MIN_TOKENS, LEAST_WORDS = 8, 13, 4
 #: The most benchmark windows that are broadcast (24 bytes each); beyond it the join is shuffled.
 MOST_BROADCAST = 2_000_000
 MARK = "\x02"
 #: Units that may follow a number (fixed values).
 UNITS = "km|cm|mm|m|kg|g|mg|lbs?|oz|l|ml|miles?|feet|foot|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|degrees?|mph|kmh|%|€|\\$|£"
-_NAME = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}[\p{Ll}]+)"
+_NAME = r"(?<![\p{L}\p{N}])(\p{Lu}[\p{Ll}]+)"
+_INITIAL = r"(?<![\p{L}\p{N}])(?<![\p{Ll}\p{N},;:] )(\p{Lu}[\p{Ll}]+)"
 
 
-def tokens(text: Column) -> Column:
-    """Template tokens in order; a placeholder is MARK, its type, and the value it stands for."""
-    named = F.regexp_replace(text, _NAME, f"{MARK}p$1")
+def tokens(text: Column, initials: bool = False) -> Column:
+    """Template tokens in order; a placeholder is MARK, its type, and the value it stands for. With initials, names that
+    may only begin a sentence are of type i."""
+    named = F.regexp_replace(F.regexp_replace(text, _INITIAL, f"{MARK}i$1") if initials else text, _NAME, f"{MARK}p$1")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", "\x03")
     numbered = F.regexp_replace(joined, r"(?<![\p{L}\p{N}])[$€£]?([0-9][0-9\x03]*+)(?:\s?(" + UNITS + r")(?![\p{L}\p{N}]))?(?!\p{L})", f" {MARK}n$1 {MARK}u$2 ")
     whole = F.when(text.rlike("[0-9]"), numbered).otherwise(named)
@@ -39,6 +42,17 @@ def _template(t: Column) -> Column:
     return F.when(t.startswith(MARK), F.substring(t, 1, 2)).otherwise(t)
 
 
+def _readings(toks: Column) -> Column:
+    """The ways to read an item's names of type i, as names or as words: the first token and the others apart."""
+    word = lambda t: F.substring(t, 3, 1 << 30)
+    name = lambda t: F.concat(F.lit(f"{MARK}p"), word(t))
+
+    def read(first, others):
+        return F.transform(toks, lambda t, i: F.when(~t.startswith(f"{MARK}i"), t).when(i == 0, first(t)).otherwise(others(t)))
+
+    return F.array_distinct(F.array(*(read(a, b) for a in (name, word) for b in (name, word))))
+
+
 def windows(rows: DataFrame, keep: list[str], toks: Column) -> DataFrame:
     """keep, pos (from 0) and h for each template window; windows' hashes come from pairs of their halves.
 
@@ -59,11 +73,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     64-bit hash of the row's id and text."""
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = raw.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text_col).cast("string")).alias("item_toks"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text_col).cast("string"), initials=True).alias("item_toks"))
     items = items.where(F.size("item_toks") >= WINDOW).distinct()
-    slots = lambda x: F.size(F.filter(x, lambda t: t.startswith(MARK)))
-    wanted = windows(items, ["item_id", "item_toks"], F.col("item_toks")).where("h is not null")
-    wanted = wanted.where(slots(F.slice("item_toks", F.col("pos") + 1, F.lit(WINDOW))) <= MOST_SLOTS).select("item_id", F.col("pos").alias("item_pos"), "h")
+    read = items.select("item_id", F.explode(_readings(F.col("item_toks"))).alias("reading"))
+    wanted = windows(read, ["item_id"], F.col("reading")).where("h is not null").select("item_id", F.col("pos").alias("item_pos"), "h").distinct()
     if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     have = windows(base, ["row_key"], tokens(F.col("text")))
@@ -76,10 +89,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     size = F.col("last") - F.col("first") + WINDOW
     mine = F.slice("item_toks", F.col("first") + 1, size)
     theirs = F.slice("toks", F.col("first") + F.col("shift") + 1, size)
-    both = F.filter(F.zip_with(mine, theirs, lambda a, b: F.struct(a.alias("i"), b.alias("d"))), lambda p: p["i"].startswith(MARK) & (F.substring(p["i"], 1, 2) == F.substring(p["d"], 1, 2)))
-    paired = with_text.withColumn("toks", tokens(F.col("text"))).withColumn("pairs", F.array_distinct(both))
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    found = paired.where(one("i") & one("d"))
+    both = F.zip_with(mine, theirs, lambda a, b: F.struct(F.regexp_replace(a, f"^{MARK}i", f"{MARK}p").alias("i"), b.alias("d")))
+    paired = with_text.withColumn("toks", tokens(F.col("text"))).withColumn("both", both)
+    slots = F.filter("both", lambda p: p["i"].startswith(MARK) & (F.substring(p["i"], 1, 2) == F.substring(p["d"], 1, 2)))
+    paired = paired.withColumn("pairs", F.array_distinct(slots))
+    one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
+    worded = F.size(F.filter("both", lambda p: ~p["i"].startswith(MARK))) >= LEAST_WORDS
+    verbatim = F.forall("pairs", lambda p: p["i"] == p["d"])
+    found = paired.where(one & (worded | verbatim))
     return found.groupBy("row_key", "doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min(F.col("first") + F.col("shift")).alias("first_token"), F.max(F.size("pairs")).alias("n_slots"))
 
 

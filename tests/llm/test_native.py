@@ -41,6 +41,26 @@ def test_leaks(spark):
     assert contaminated(docs.limit(0), bench).collect() == [] and drop_contaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_leaks_of_many_values_and_sentence_starts(spark):
+    runs = "Tom runs 5 km in 25 minutes and Ann runs 8 km in 48 minutes, who is faster?"
+    total = "Compute 12 + 7 - 3 + 44 - 5 + 61 - 8 + 9 + 10 - 2 + 30 + 6 + 1 of all."
+    capital = "What is the capital of the old kingdom in the north?"
+    pens = "Tom buys 4 red pens. Sara buys 6 blue pens. Tom gives 2 pens to Sara. How many pens are left?"
+    items = [(1, runs), (2, total), (3, capital), (4, pens)]
+    texts = [
+        "We ask: " + runs,
+        runs.replace("Tom", "Max").replace("Ann", "Eva").replace("25", "31").replace("48", "52"),
+        "so " + total,
+        "so " + " ".join(str(n) for n in range(100, 140)),
+        "They said, What is the capital of the old kingdom in the north?",
+        "so what is the capital of the old kingdom in the north?",
+        pens.replace("Tom", "Kim").replace("Sara", "Lena").replace("4", "3").replace("6", "3"),
+        pens.replace("Tom gives", "Bob gives"),
+    ]
+    got = contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 1), (1, 1), (2, 2), (4, 3), (5, 3), (6, 4)}
+
+
 def test_plans_are_native(spark, capsys):
     bench = spark.createDataFrame([(100, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame(docs_of([(1, PLAIN)]), KINDS)
