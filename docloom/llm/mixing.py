@@ -2,13 +2,13 @@
 
 A naive Bayes classifier over hashed words is fitted on the table of labels (a bounded sample of it) and predicts,
 for every document, posteriors of the domains clean, low (quality 0) and toxic. Rates r >= 0 per document are then
-fitted by projected gradient on the least squares of expected domain tokens: with t tokens and posteriors p,
+fitted by Newton steps in the dual of the least squares of expected domain tokens: with t tokens and posteriors p,
 
     A_d = sum of r t p_d,   minimise  sum over d of (A_d - T_d)^2 / (2 S_d T)  +  mu/2 sum of t (r - 1)^2 / T
 
-for targets T_d, natural totals S_d and all tokens T. A step takes one distributed aggregation of three sums; a
-document's rate is a function of its posteriors and the steps so far, so rates are computed where they are needed
-and never stored or shuffled. Steps end when the residual settles.
+for targets T_d, natural totals S_d and all tokens T. The optimum is r = max(0, 1 - sum of y_d p_d), so only the
+three y are searched for; a trial takes one distributed aggregation, and rates are computed where they are needed and
+never stored or shuffled. Steps end when the gradient is within `enough`; else an error is raised.
 
 A null text has no tokens, the priors as posteriors, and weighs nothing. A domain without labels has no posterior, and its
 target goes to the others.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,36 +87,49 @@ def rate(steps: list[list[float]], step: float, mu: float) -> Column:
     return r
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], step: float = 0.8, mu: float = 0.002, most_steps: int = 40, enough: float = 1e-4) -> list[list[float]]:
-    """Steps of projected gradient over members(_tokens, _p); each is one aggregation."""
+def fit_rates(members: DataFrame, targets: dict[str, float], step: float = 0.8, mu: float = 1e-5, most_steps: int = 100, enough: float = 1e-4) -> list[list[float]]:
+    """The one step of rate() that is the optimum over members(_tokens, _p): Newton in the dual, an aggregation a trial."""
+    n = len(DOMAINS)
+    p = [F.get("_p", F.lit(i)) for i in range(n)]
 
-    def totals(steps: list[list[float]]) -> list[float]:
-        r = rate(steps, step, mu) * F.col("_tokens")
-        return [x or 0.0 for x in members.agg(*(F.sum(r * F.get("_p", F.lit(i))) for i in range(len(DOMAINS)))).first()]
+    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        r = rate([(at / step).tolist()], step, mu)
+        t = F.col("_tokens")
+        cells = [F.sum(r * r * t / 2), *(F.sum(r * t * x) for x in p), *(F.sum(F.when(r > 0, t * x * y).otherwise(0.0)) for x in p for y in p)]
+        x = np.array([v or 0.0 for v in members.agg(*cells).first()])
+        return x[0], x[1 : n + 1], x[n + 1 :].reshape(n, n)
 
-    natural = totals([])
-    whole = sum(natural)
-    steps: list[list[float]] = []
+    dual = np.zeros(n)
+    half, now, bend = sums(dual)
+    natural = now
+    whole = float(natural.sum())
     if not whole:
-        return steps
+        return []
     # targets of domains that no document may belong to are shared out among the others
-    there = [n > 1e-9 * whole for n in natural]
+    there = natural > 1e-9 * whole
     asked = sum(targets[d] for d, t in zip(DOMAINS, there, strict=True) if t)
     if not asked:
-        return steps
-    want = [targets[d] / asked * whole if t else 0.0 for d, t in zip(DOMAINS, there, strict=True)]
-    now = natural
-    while len(steps) < most_steps:
-        if max(abs(a - b) for a, b in zip(now, want, strict=True)) < enough * whole:
-            break
-        steps.append([(a - b) / s if t else 0.0 for a, b, s, t in zip(now, want, natural, there, strict=True)])
-        last, now = now, totals(steps)
-        if max(abs(a - b) for a, b in zip(now, last, strict=True)) < 0.02 * enough * whole:
-            break
-    return steps
-
-
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, step: float = 0.8, mu: float = 0.002, **options) -> tuple[DataFrame, Column]:
+        return []
+    want = np.array([targets[d] / asked * whole if t else 0.0 for d, t in zip(DOMAINS, there, strict=True)])
+    pull = mu * np.where(there, natural, whole)
+    value = lambda half, at: half + (want * there) @ at + pull @ (at * at) / 2
+    for _ in range(most_steps):
+        slope = np.where(there, want - now, 0.0) + pull * dual
+        if np.abs(slope).max() < enough * whole * min(1.0, float(want[there].min()) / whole + 0.01):
+            return [(dual / step).tolist()]
+        way = -np.linalg.solve(np.where(np.outer(there, there), bend, 0.0) + np.diag(pull), slope)
+        size, before = 1.0, value(half, dual)
+        while True:
+            tried = sums(dual + size * way)
+            if value(tried[0], dual + size * way) <= before + 1e-4 * size * (slope @ way) or size < 1e-6:
+                break
+            size /= 2
+        dual = dual + size * way
+        half, now, bend = tried
+    raise RuntimeError(f"rates did not settle: residual {np.abs(slope).max() / whole:.2g} of all tokens")
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, step: float = 0.8, mu: float = 1e-5, **options) -> tuple[DataFrame, Column]:
     """docs with _tokens and _p, and the fitted rate over them."""
     from docloom.llm.common import drop_table, materialise
 

@@ -1,12 +1,13 @@
 """Decontamination and mixing."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm.decontaminate import contaminated, drop_contaminated, tokens
-from docloom.llm.mixing import DOMAINS, TARGETS, fit_rates, mix, mixing_rates
+from docloom.llm.mixing import DOMAINS, TARGETS, fit_rates, mix, mixing_rates, rate
 
 KINDS = "doc_id long, text string, lang string, source string, item_id long, h int, pos string"
 
@@ -85,6 +86,18 @@ def test_rates_reach_targets(spark):
         assert sum(r * t * p[i] for r, (t, p) in zip(rates, rows)) / total == pytest.approx(want[d], abs=0.02)
 
 
+def test_rates_reach_targets_of_overlapping_domains(spark):
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(2000):
+        e = [math.exp(2 * rnd.gauss(0, 1) + x) for x in (2.0, 0.5, -0.5)]
+        rows.append((rnd.randrange(1, 900), [x / sum(e) for x in e]))
+    members = spark.createDataFrame(rows, "_tokens long, _p array<double>")
+    r = rate(fit_rates(members, TARGETS), 0.8, 1e-5)
+    got = members.agg(*(F.sum(r * F.col("_tokens") * F.col("_p")[i]) / F.sum("_tokens") for i in range(3))).first()
+    assert list(got) == pytest.approx([TARGETS[d] for d in DOMAINS], abs=0.001)
+
+
 def test_mix(spark):
     rnd = random.Random(6)
     rows, labels = [], []
