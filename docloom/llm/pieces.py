@@ -3,21 +3,31 @@
 A byte-level BPE never merges across the pieces its pre-tokenizer makes. Most text repeats its pieces, so a batch
 is cut into pieces with numpy, and only pieces not seen before in this process go to the library. Which code points
 are letters, numbers, spaces or others is asked of the library's own pre-tokenizer, so both agree on every code point.
-Texts that hold an added token's string are encoded whole by the library.
+Texts that hold an added token's string are encoded whole by the library, and all texts are if the tokenizer file asks
+for a normalizer or another pre-tokenizer than the plain byte-level one. Long texts are cut where a single blank stands
+between two ASCII letters or digits: a piece begins there in any case.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
+from docloom.llm.blocks import among
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 #: Ends of the contractions that the pre-tokenizer keeps whole (fixed values of its pattern).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-MOST_PIECES = 1_500_000
+#: Pieces that a process remembers; it starts anew beyond them.
+MOST_PIECES = 1_000_000
+#: Characters from which on a text is cut.
+LONG = 1 << 18
+_cut = re.compile(r"[A-Za-z0-9](?= [A-Za-z0-9])")
 _open: dict[str, PieceEncoder] = {}
 
 
@@ -38,22 +48,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def cuts_like_byte_level(path: str) -> bool:
+    """Whether the tokenizer file asks for the very cutting that _starts() does."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    pre = data.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    added = data.get("added_tokens") or []
+    return plain and data.get("normalizer") is None and data["model"].get("type") == "BPE" and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in added)
+
+
+def chunks(text: str) -> list[str]:
+    """The text in runs of about LONG characters at most where it can be cut; end to end they encode as the whole."""
+    out, at = [], 0
+    while len(text) - at > LONG and (m := _cut.search(text, at + LONG // 2)):
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.known = cuts_like_byte_level(path)
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}  # hash of a piece -> its place in the arrays below
-        self.n_ids = 0
-        self.first = np.zeros(1024, np.int64)  # where a piece's ids begin in self.ids
-        self.count = np.zeros(1024, np.int32)
-        self.check = np.zeros(1024, np.uint64)  # a second hash of the piece
-        self.ids = np.zeros(4096, np.uint32)
+        self.key = np.zeros(0, np.uint64)  # hashes of the known pieces, sorted; the next three go with them
+        self.check = np.zeros(0, np.uint64)  # a second hash
+        self.first = np.zeros(0, np.int32)  # where a piece's ids begin in self.ids
+        self.count = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
 
     def _learn_kinds(self, cp: np.ndarray) -> None:
         split = self.lib.pre_tokenizer.pre_tokenize_str
@@ -114,23 +143,26 @@ class PieceEncoder:
                 start[after] = True
         return start
 
-    def _add(self, texts: list[str], keys: list[int], check: np.ndarray) -> None:
-        """Learns the pieces texts, whose hashes are keys."""
+    def _add(self, texts: list[str], keys: np.ndarray, check: np.ndarray) -> None:
+        """Learns the pieces texts, whose sorted hashes are keys."""
         ids = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        had, total = len(self.slot), int(count.sum())
-        for name, need in (("first", had + len(ids)), ("count", had + len(ids)), ("check", had + len(ids)), ("ids", self.n_ids + total)):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need - len(old), len(old)), old.dtype)]))
-        self.first[had : had + len(ids)] = self.n_ids + np.cumsum(count) - count
-        self.count[had : had + len(ids)] = count
-        self.check[had : had + len(ids)] = check
-        self.ids[self.n_ids : self.n_ids + total] = [x for e in ids for x in e]
-        self.n_ids += total
-        self.slot.update(zip(keys, range(had, had + len(ids)), strict=True))
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        at = np.searchsorted(self.key, keys)
+        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(count) - count)
+        self.ids = np.concatenate([self.ids, np.fromiter((x for e in ids for x in e), np.uint32, int(count.sum()))])
+        self.key, self.check, self.count = np.insert(self.key, at, keys), np.insert(self.check, at, check), np.insert(self.count, at, count)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, how many each has)."""
+        if not self.known:
+            return self._plain(texts)
+        if any(len(t) > LONG for t in texts):
+            cut = [chunks(t) for t in texts]
+            got = [self._encode_cut(c) for c in cut]
+            return np.concatenate([ids for ids, _ in got]), np.array([sizes.sum() for _, sizes in got], np.int64)
+        return self._encode_cut(texts)
+
+    def _encode_cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [any(a in t for a in self.added) for t in texts]
         plain = [t for t, w in zip(texts, whole, strict=True) if not w and t]
         ids, sizes = self._encode(plain) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -161,26 +193,24 @@ class PieceEncoder:
         # hashes of the pieces from running sums: code points, mixed with their place in the piece
         place = np.arange(len(cp), dtype=np.int64)
         place -= np.repeat(at, size)
-        x = cp.astype(np.uint64)
-        x |= place.view(np.uint64) << np.uint64(21)
+        x = place.view(np.uint64)
+        x <<= np.uint64(21)
+        x |= cp
         check = np.add.reduceat(x * np.uint64(0x9FB21C651E98DF25), at)
         key = np.add.reduceat(_mixed(x), at)
-        if len(self.slot) > MOST_PIECES:
+        if len(self.key) > MOST_PIECES:
             self.forget()
         uniq, one, inverse = np.unique(key, return_index=True, return_inverse=True)
         if (check != check[one][inverse]).any():  # two pieces with one hash: the library encodes all
             return self._plain(texts)
-        hashes = uniq.tolist()
-        there = np.fromiter((self.slot.get(h, -1) for h in hashes), np.int64, len(hashes))
-        (new,) = np.nonzero(there < 0)
-        old = there >= 0
-        if (self.check[there[old]] != check[one[old]]).any():
+        new = ~among(uniq, self.key)
+        if new.any():
+            pick = one[new]
+            self._add([joined[a:b] for a, b in zip(at[pick].tolist(), until[pick].tolist(), strict=True)], uniq[new], check[pick])
+        there = np.searchsorted(self.key, uniq)
+        if (self.check[there] != check[one]).any():
             return self._plain(texts)
-        if len(new):
-            begin, stop = at[one[new]].tolist(), until[one[new]].tolist()
-            there[new] = np.arange(len(self.slot), len(self.slot) + len(new))
-            self._add([joined[a:b] for a, b in zip(begin, stop, strict=True)], uniq[new].tolist(), check[one[new]])
-        first, count = self.first[there][inverse], self.count[there][inverse].astype(np.int64)
+        first, count = self.first[there][inverse].astype(np.int64), self.count[there][inverse].astype(np.int64)
         total = np.cumsum(count)
         step = np.repeat(first - (total - count), count)
         ids = self.ids[step + np.arange(total[-1])]

@@ -1,14 +1,15 @@
 """Token-id files with directly addressable codes.
 
 An id is cut into chunks of 8 bits, lowest first. Level 0 holds the lowest chunk of every id; a bitmap beside it
-says which ids go on; level 1 holds the next chunk of those alone, and so on. A rank directory (ones before each
-512-bit block) turns "the i-th id goes on" into its place in the next level, so any token is read by at most one
-lookup and one rank a level, without decoding a block.
+says which ids go on; level 1 holds the next chunk of those alone, and so on. Rank directories (ones before each
+512-bit block, and before each word in its block) turn "the i-th id goes on" into its place in the next level, so any
+token is read by at most one lookup and one rank a level, without decoding a block.
 
 A file covers a run of documents in ascending order of doc_id, null ids first (texts of one id by their hash): header, document directory
 (ids, null flags and running token counts), then the levels. Files travel as binary values of a table in the shared
 folder, with their place in the order beside them, so that Spark's commit protocol covers them and any store serves.
-A null or empty text has no ids but the end id. An empty table gives an empty file table.
+A null or empty text has no ids but the end id. An empty table gives an empty file table. A file is closed at the first
+document past `file_tokens`, so only a document of more tokens makes a file of more than twice that.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from docloom.llm.common import id_text, materialise, parts, slices
 from docloom.llm.pieces import encoder
 
 MAGIC = b"DLTK0001"
+#: Ids a block of the rank directory, and bitmap words in it.
 BLOCK = 512
-FILE_TOKENS = 4 << 20
+WORDS = BLOCK // 64
+#: Tokens from which on a file is closed; and tokens that are read at once.
+FILE_TOKENS = 1 << 20
+READ_TOKENS = 1 << 18
 FILES = "part int, seq int, n_docs long, n_tokens long, file binary"
 
 
@@ -39,21 +44,23 @@ def default_tokenizer() -> str:
 
 
 def dac_write(ids: np.ndarray) -> bytes:
-    """The levels of ids, each: chunk count, chunks, bitmap words, rank directory."""
-    out, rest = [], ids.astype(np.uint64)
+    """The levels of ids, each: count, chunks, bitmap words, ones before each block, ones before each word in its block."""
+    out, rest = [], ids.astype(np.uint32)
     levels = 0
     while True:
-        more = rest >> np.uint64(8)
-        goes_on = more > 0
-        pad = -len(rest) % BLOCK
-        bits = np.packbits(np.append(goes_on, np.zeros(pad, bool)), bitorder="little")
-        ones = np.bitwise_count(bits.view(np.uint64)).astype(np.uint64).reshape(-1, BLOCK // 64).sum(1)
-        rank = np.cumsum(ones) - ones
-        out += [struct.pack("<Q", len(rest)), (rest & np.uint64(255)).astype(np.uint8).tobytes(), bits.tobytes(), rank.astype("<u8").tobytes()]
+        n = len(rest)
+        out += [struct.pack("<Q", n), rest.astype(np.uint8).tobytes()]  # the lowest chunk
+        rest >>= np.uint32(8)
+        goes_on = rest > 0
+        bits = np.packbits(np.append(goes_on, np.zeros(-n % BLOCK, bool)), bitorder="little")
+        ones = np.bitwise_count(bits.view("<u8")).astype(np.uint16).reshape(-1, WORDS)
+        inside = np.cumsum(ones, axis=1, dtype=np.uint16)
+        total = np.cumsum(inside[:, -1], dtype=np.uint64)
+        out += [bits.tobytes(), (total - inside[:, -1]).astype("<u8").tobytes(), (inside - ones).astype("<u2").tobytes()]
         levels += 1
-        if not goes_on.any():
+        rest = rest[goes_on]
+        if not len(rest):
             return struct.pack("<I", levels) + b"".join(out)
-        rest = more[goes_on]
 
 
 class Dac:
@@ -65,43 +72,28 @@ class Dac:
         for _ in range(n_levels):
             (n,) = struct.unpack_from("<Q", data, at)
             blocks = -(-n // BLOCK)
-            chunks = np.frombuffer(data, np.uint8, n, at + 8)
-            bits = np.frombuffer(data, np.uint8, blocks * BLOCK // 8, at + 8 + n)
-            rank = np.frombuffer(data, "<u8", blocks, at + 8 + n + len(bits))
-            at += 8 + n + len(bits) + 8 * blocks
-            words = bits.view("<u8")
-            self.levels.append((chunks, words, rank))
+            at += 8
+            level = []
+            for kind, count in ((np.uint8, n), ("<u8", blocks * WORDS), ("<u8", blocks), ("<u2", blocks * WORDS)):
+                level.append(np.frombuffer(data, kind, count, at))
+                at += level[-1].nbytes
+            self.levels.append(level)
 
     def access(self, at: np.ndarray) -> np.ndarray:
-        """The ids at these places, in any order."""
+        """The ids at these places, in any order: a chunk and a rank a level."""
         at = np.asarray(at, np.int64)
-        out = np.zeros(len(at), np.uint64)
-        live = np.arange(len(at))
-        for depth, (chunks, words, rank) in enumerate(self.levels):
-            out[live] |= chunks[at].astype(np.uint64) << np.uint64(8 * depth)
+        out = np.zeros(len(at), np.uint32)
+        live: np.ndarray | slice = slice(None)
+        for depth, (chunks, words, before_block, before_word) in enumerate(self.levels):
+            out[live] |= chunks[at].astype(np.uint32) << np.uint32(8 * depth)
             word, bit = at >> 6, (at & 63).astype(np.uint64)
-            goes_on = (words[word] >> bit) & np.uint64(1) > 0
-            at, word, bit, live = at[goes_on], word[goes_on], bit[goes_on], live[goes_on]
-            if not len(at):
+            bits = words[word]
+            (goes_on,) = np.nonzero((bits >> bit) & np.uint64(1))
+            if not len(goes_on):
                 break
-            ones = rank[at // BLOCK].astype(np.int64)
-            first = (at // BLOCK) * (BLOCK // 64)
-            for k in range(BLOCK // 64 - 1):  # whole words before the bit's own
-                before = first + k < word
-                ones[before] += np.bitwise_count(words[(first + k)[before]])
-            ones += np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
-            at = ones
-        return out
-
-    def all(self) -> np.ndarray:
-        """Every id in order: a scan of the levels."""
-        chunks, words, _ = self.levels[-1]
-        out = chunks.astype(np.uint64)
-        for chunks, words, _ in self.levels[-2::-1]:
-            goes_on = np.unpackbits(words.view(np.uint8), bitorder="little")[: len(chunks)].astype(bool)
-            low = chunks.astype(np.uint64)
-            low[goes_on] |= out << np.uint64(8)
-            out = low
+            live = goes_on if depth == 0 else live[goes_on]
+            word, lower = word[goes_on], bits[goes_on] & ((np.uint64(1) << bit[goes_on]) - np.uint64(1))
+            at = before_block[word // WORDS].astype(np.int64) + before_word[word] + np.bitwise_count(lower)
         return out
 
 
@@ -125,6 +117,18 @@ class TokenFile:
         self.starts = np.concatenate([[0], upto])
         self.dac = Dac(memoryview(data)[16 + 17 * n :])
 
+    def checksums(self) -> list[int]:
+        """crc32 of each document's ids as little-endian 32-bit integers, all read by direct access, READ_TOKENS at a time."""
+        out = [0] * len(self.doc_ids)
+        for lo in range(0, int(self.starts[-1]), READ_TOKENS):
+            hi = min(lo + READ_TOKENS, int(self.starts[-1]))
+            ids = memoryview(self.dac.access(np.arange(lo, hi)).astype("<u4").tobytes())
+            first, last = np.searchsorted(self.starts, lo, "right") - 1, np.searchsorted(self.starts, hi, "left")
+            cuts = np.clip(self.starts[first : last + 1], lo, hi) - lo
+            for i, (a, b) in enumerate(zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True), int(first)):
+                out[i] = zlib.crc32(ids[a:b], out[i])
+        return out
+
     def tokens(self, i: int, begin: int = 0, end: int | None = None) -> np.ndarray:
         """Ids begin..end of the i-th document, by direct access."""
         a, b = int(self.starts[i]), int(self.starts[i + 1])
@@ -150,7 +154,7 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
             return row
 
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 got, n = enc.encode([t or "" for t in b.column("text").to_pylist()])
                 with_end = np.insert(got, np.cumsum(n), end_id)
                 held_ids += b.column("doc_id").to_pylist()
@@ -176,8 +180,7 @@ def read_files(files: DataFrame) -> DataFrame:
             for part, seq, data in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("file"), strict=True):
                 f = TokenFile(data.as_py())
                 n = len(f.doc_ids)
-                ids = f.dac.all().astype("<u4")
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(f.starts[:-1].tolist(), f.starts[1:].tolist(), strict=True)]
+                crc = f.checksums()
                 cols = [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(f.doc_ids, pa.int64()), pa.array(f.starts[:-1]), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_id", "in_file", "n_tokens", "ids_crc32"])
 
