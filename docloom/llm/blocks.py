@@ -105,7 +105,20 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    """Keys are often the least of many hashes and crowd near zero, so they are mixed once more before they are dealt."""
+    return ((mixed(keys ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_count(n_blocks: int, n_parts: int) -> int:
+    """Four buckets a partition, so that partitions are even; more only if a bucket would get more than four blocks' keys."""
+    return max(min(n_blocks, 4 * n_parts), -(-n_blocks // 4))
+
+
+def dealt(buckets: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places of its entries in their order) for each bucket that has any."""
+    order = np.argsort(buckets, kind="stable")
+    at = np.nonzero(np.diff(buckets[order], prepend=-1))[0]
+    return list(zip(buckets[order[at]].tolist(), np.split(order, at[1:]), strict=True)) if len(at) else []
 
 
 def messages(blk: int, made: list[tuple[int, bytes]]) -> pa.Table:
@@ -114,10 +127,8 @@ def messages(blk: int, made: list[tuple[int, bytes]]) -> pa.Table:
 
 def ballots(blk: int, keys: np.ndarray, sure: np.ndarray, n_buckets: int, check: np.ndarray | None = None, weight: np.ndarray | None = None) -> pa.Table:
     """A block's distinct sorted keys, one message a bucket; sure: the block alone knows that the key repeats; weight: how much the block will send under a key."""
-    at = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
     made = []
-    for b in np.nonzero(np.diff(at))[0].tolist():
-        s = slice(at[b], at[b + 1])
+    for b, s in dealt(bucket_of(keys, n_buckets)):
         made.append((b, pack(keys=planes(keys[s]), sure=np.packbits(sure[s]), **{k: x[s] for k, x in (("check", check), ("weight", weight)) if x is not None})))
     return messages(blk, made)
 

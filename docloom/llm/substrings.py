@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.blocks import MESSAGE, Rolling, among, answers, ballots, block_count, in_blocks, mixed, sliding_min, voted, with_answers
+from docloom.llm.blocks import MESSAGE, Rolling, among, answers, ballots, block_count, bucket_count, in_blocks, mixed, sliding_min, voted, with_answers
 from docloom.llm.common import id_text, parts
 
 WINDOW = 35
@@ -96,6 +96,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """RESULT: per row of docs, how many of its words repeated windows cover, and what is left of it."""
     own = id_text(docs, id_col, text_col)
     n_blocks, n_parts = block_count(own), parts(docs)
+    n_buckets = bucket_count(n_blocks, n_parts)
     blocks = in_blocks(own, n_blocks, n_parts)
     short, *between, full = levels(window) if len(levels(window)) > 1 else [window, window]
 
@@ -107,7 +108,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         w, roll = read(table)
         _, place = _anchors(w, roll, window, short)
         keys, sure, _ = _repeats(roll(np.unique(place), short))
-        return ballots(table.column("blk")[0].as_py(), keys, sure, n_blocks)
+        return ballots(table.column("blk")[0].as_py(), keys, sure, n_buckets)
 
     def sides(w: Words, roll: Rolling, place: np.ndarray, size: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows of `size` at anchors: to the right, and to the left so that they end where the anchor ends. Which exist, and their hashes."""
@@ -121,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def doubled(size: int, half: int):
         def run(table: pa.Table, reply: pa.Table) -> pa.Table:
             if not table.num_rows:
-                return ballots(0, np.zeros(0, np.uint64), np.zeros(0, bool), n_blocks)
+                return ballots(0, np.zeros(0, np.uint64), np.zeros(0, bool), n_buckets)
             w, roll = read(table)
             held, _ = answers(reply)
             place = np.unique(_anchors(w, roll, window, short)[1])
@@ -135,7 +136,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             keys = np.concatenate([r[right], s[left]])
             _, one = np.unique(begin, return_index=True)  # two anchors may extend to one window
             keys, sure, _ = _repeats(keys[one])
-            return ballots(table.column("blk")[0].as_py(), keys, sure, n_blocks)
+            return ballots(table.column("blk")[0].as_py(), keys, sure, n_buckets)
 
         return run
 
@@ -157,11 +158,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def last_level(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows or not reply.num_rows:
-            return ballots(0, np.zeros(0, np.uint64), np.zeros(0, bool), n_blocks)
+            return ballots(0, np.zeros(0, np.uint64), np.zeros(0, bool), n_buckets)
         w, roll = read(table)
         at = candidates(w, roll, answers(reply)[0])
         keys, sure, check = _repeats(*final_keys(w, roll, at))
-        return ballots(table.column("blk")[0].as_py(), keys, sure, n_blocks, check)
+        return ballots(table.column("blk")[0].as_py(), keys, sure, n_buckets, check)
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:

@@ -108,3 +108,62 @@ def test_empty(spark):
     nulls = spark.createDataFrame([(None, None, None, None)] * 2, KINDS)
     assert [r.n_words for r in remove_repeats(nulls).collect()] == [0, 0]
     assert [r.n_bytes for r in remove_later_copies(nulls).collect()] == [0, 0]
+
+
+def test_buckets_are_even():
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docloom.llm.blocks import Rolling, bucket_of
+    from docloom.llm.substrings import Words, _anchors
+    from docloom.llm.suffixes import Bytes
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).slice(0, 2500)
+    b = Bytes(texts, 50, 16)
+    grams, one = np.unique(b.gram, return_index=True)
+    w = Words(texts.column("text").to_pylist())
+    roll = Rolling(w.hash)
+    words = np.unique(roll(np.unique(_anchors(w, roll, 35, 9)[1]), 9))
+    for keys, weight in ((grams, b.size[one]), (words, None)):
+        load = np.bincount(bucket_of(keys, 64), weight, 64)
+        assert load.max() < 2 * load.mean()
+    assert isinstance(texts, pa.Table)
+
+
+def test_shards_are_merged_like_sorted_suffixes():
+    import numpy as np
+
+    from docloom.llm.suffixes import merge_shards
+
+    rnd = random.Random(11)
+    for window, gram in ((12, 4), (9, 9), (7, 3), (8, 5)):
+        span = window - gram + 1
+        rows = []
+        for _ in range(300):
+            left, more = rnd.randrange(span), rnd.randrange(span)
+            right = max(window - left, min(gram + more, window))
+            g = rnd.choice(["\x00" * gram, "a" * gram, "ab" * gram])[:gram]
+            body = lambda n: "".join(rnd.choice("a\x00b") for _ in range(n))
+            rows.append((left, (body(left) + g + body(right - gram)).encode(), g, rnd.randrange(50)))
+        size = np.array([len(r[1]) for r in rows])
+        begin = np.cumsum(size) - size
+        got = merge_shards(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), begin, np.array([r[0] for r in rows]), size, np.array([r[3] for r in rows]), window, gram)
+        least, want = {}, []
+        for left, s, g, i in rows:
+            for k in range(len(s) - window + 1):
+                x = (g, left - k, s[k : k + window])
+                least[x] = min(least.get(x, 99), i)
+                want.append(x)
+        assert got.tolist() == [least[x] for x in want]
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rnd = random.Random(4)
+    long = " ".join(f"u{rnd.randrange(10**9)}" for _ in range(60_000))
+    rows = [(1, "a" * 300_000), (2, "ab" * 200_000), (3, "a" * 100_000), (4, long), (5, long[1000:200_000]), (6, "x" + long)]
+    docs = spark.createDataFrame([(*r, 1, "p", 2) for r in rows], "doc_id long, text string, blk int, payload string, n_removed int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_later_copies(docs).collect()}
+    assert got == {1: (300_000, 0, 0), 2: (400_000, 0, 0), 3: (100_000, 100_000, 1), 4: (len(long), 0, 0), 5: (199_000, 199_000, 1), 6: (len(long) + 1, len(long), 1)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(docs).collect()}
+    assert got[4] == (60_000, 59_999) and got[6] == (60_000, 59_999) and got[1] == (1, 0)
