@@ -10,12 +10,18 @@ elements distinct, the best alignment is the longest increasing run of matched p
 diagonal than the unmatched shingles that the threshold allows lie outside the band. With L aligned of n and m,
 similarity is L / (n + m - L), at least 0.8 for a link. Shingles are compared by 32 bits there.
 
-Copies of a text are one node, found by a digest, and never expanded. Within a band's bucket every text is compared
-with a pivot, not with every other. The pivot is the text that meets most others over all its buckets: the copies of an
-edited text meet the text itself more often than each other. Rounds follow with more pivots each, drawn without
-replacement by a hash, until every bucket's members that were no pivot yet are of one class: by then every pair that
-shares a bucket is of one class, or was tested, or is ruled out by its sizes. Classes are the connected components of
-the links; a later round's links join classes, so only the graph of classes is searched for components then.
+Copies of a text are one node, found by a digest, and never expanded. Every pair that shares a band's bucket is of one
+class in the end, or was tested, or is ruled out by a bound, without all pairs of a bucket being formed:
+
+1. Every text is compared with its buckets' pivots: the text that meets most others, as the copies of an edited text
+   meet the text itself more often than each other. Links make classes, the connected components.
+2. Buckets that hold several classes are open. What a text aligns with another is at most its shingles that any other
+   text of the open buckets holds, which one aggregation counts; texts for which that is too little for any link go.
+3. The texts left in an open bucket are dealt to blocks, those of its largest class apart from the others, and blocks meet
+   blocks, but never two of the largest class. In a pair of blocks the same bound is taken again from the blocks
+   themselves; pairs of different classes that pass it, and share no earlier band, are aligned.
+
+Classes are joined by the links of step 3; only the graph of classes is searched for components then.
 
 A text without a word, null included, is in no class but its own row's; a text of fewer than 5 words is only ever the
 copy of an equal one. The class id is the least doc_id of the class (null if no member has one). Repeated rows are
@@ -38,8 +44,10 @@ from docloom.llm.components import components
 from docloom.llm.substrings import Words
 
 SHINGLE, TAKEN, ROWS, BANDS, SIMILARITY = 5, 2, 2, 20, 0.8
-#: A bucket's pivots in a round after the first: this to the power of the round.
-GROWTH = 4
+#: Bytes of shingles in a block of an open bucket.
+BLOCK_BYTES = 1 << 19
+#: The most candidates' ids that are broadcast (about 60 bytes each); beyond it texts are joined by shuffle.
+MOST_BROADCAST = 300_000
 
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
@@ -170,7 +178,91 @@ def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, max_rounds: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(batch, "seq", 1 << 20):
+            seqs = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column("seq")]
+            key = b.column("key").take(pa.array(np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])))
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate(seqs))], ["key", "s"])
+
+
+def open_buckets(cells: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(band, h, key, label, size, major) of the buckets with several classes, without texts that cannot link; major: of
+    the bucket's largest class."""
+    # what is joined to a bucket's members is stored first: Spark splits a large partition of a join of two plain exchanges
+    named = cells.select("band", "h", "key", "size").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    several = lambda df: df.join(materialise(df.groupBy("band", "h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band", "h"), "several"), ["band", "h"])
+    still = materialise(several(named), "open")
+    rows = texts.join(still.select("key").distinct(), "key", "left_semi").mapInArrow(_shingle_rows, "key binary, s int")
+    held = rows.groupBy("s").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    # aligned at most size - alone, and the other text is no shorter than that
+    may = still.join(held, "key", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= least * F.col("size") - 1e-9).drop("alone")
+    left = materialise(several(may), "pool")
+    drop_table(still)
+    largest = left.groupBy("band", "h", "label").agg(F.count("*").alias("n")).groupBy("band", "h").agg(F.max(F.struct("n", "label")).alias("top"))
+    return materialise(left.join(materialise(largest, "largest"), ["band", "h"]).withColumn("major", F.col("label") == F.col("top.label")).drop("top"), "pool")
+
+
+def in_block_pairs(pool: DataFrame, block_bytes: int) -> DataFrame:
+    """The members of pool once for each pair (i, j) of blocks that their own block meets; own is that block."""
+    weight = F.col("size") * 4 + 300
+    blocks = lambda own: F.ceil(F.coalesce(F.sum(F.when(own, weight)), F.lit(0)) / block_bytes).cast("int")
+    counts = pool.groupBy("band", "h").agg(blocks(~F.col("major")).alias("minors"), blocks(F.col("major")).alias("majors"))
+    placed = pool.join(materialise(counts, "blocks"), ["band", "h"])
+    among = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    placed = placed.withColumn("own", F.when(F.col("major"), F.col("minors") + among(F.col("majors"))).otherwise(among(F.col("minors"))))
+    others = F.sequence(F.lit(0), F.when(F.col("major"), F.col("minors") - 1).otherwise(F.col("minors") + F.col("majors") - 1))
+    pair = F.explode(F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
+    return placed.select("band", "h", "key", "label", "own", pair.alias("pair")).select("band", "h", "key", "label", "own", "pair.i", "pair.j")
+
+
+def link_blocks(group: pa.Table, least: float) -> pa.Table:
+    """(a, b) links between members of different classes of two blocks; once two classes are linked, no more of them."""
+    band, own = group.column("band")[0].as_py(), np.array(group.column("own").to_pylist())
+    key, label = group.column("key").to_pylist(), group.column("label").to_pylist()
+    bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(key), -1)
+    seqs = [np.frombuffer(x.as_buffer(), "<u4") for x in group.column("seq")]
+    class_of = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
+    sizes = np.array([len(x) for x in seqs])
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    # of each member, the shingles that any member of another class on the other side holds
+    shingle, who = np.concatenate(seqs), np.repeat(np.arange(len(seqs)), sizes)
+    number = np.unique(shingle, return_inverse=True)[1]
+
+    def shared(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        low, high = np.full(int(number.max()) + 1, len(seqs)), np.full(int(number.max()) + 1, -1)
+        there = theirs[who]
+        np.minimum.at(low, number[there], class_of[who[there]])
+        np.maximum.at(high, number[there], class_of[who[there]])
+        here = mine[who]
+        foreign = (high[number[here]] >= 0) & ((low[number[here]] != class_of[who[here]]) | (high[number[here]] != class_of[who[here]]))
+        return np.bincount(who[here][foreign], minlength=len(seqs))
+
+    side = [own == i, own == j]
+    most = np.where(side[0], shared(side[0], side[1]), shared(side[1], side[0]))
+    up = list(range(int(class_of.max()) + 1))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    found = []
+    other = np.nonzero(side[1])[0]
+    for x in np.nonzero(side[0])[0].tolist():
+        y = other[other > x] if i == j else other
+        need = least * (sizes[x] + sizes[y]) / (1 + least) - 1e-9
+        y = y[(class_of[y] != class_of[x]) & (np.minimum(most[x], most[y]) >= need)]
+        y = y[~(bands[y, :band] == bands[x, :band]).any(1)]
+        for k in y.tolist():
+            if root(class_of[x]) != root(class_of[k]) and similarity(seqs[x], seqs[k], least) >= least:
+                found.append((key[x], key[k]))
+                up[root(class_of[x])] = root(class_of[k])
+    return pa.table({c: pa.array([f[n] for f in found], pa.binary()) for n, c in enumerate("ab")})
+
+
+def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, most_broadcast: int = MOST_BROADCAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, class_id, class_size) for each row of docs; key is a digest of the row's text, null for null."""
     base = keyed(docs, id_col, text_col)
     sketched = materialise(base.mapInArrow(_sketches(bands, rows), "doc_id long, key binary, worded boolean, size int, bands array<long>"), "sketches")
@@ -179,54 +271,41 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: f
     nodes = materialise(nodes, "nodes")
     cells = nodes.where("bands is not null").select("key", "size", F.posexplode("bands").alias("band", "h"))
     shared = cells.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(shared, "shared")
     met_in = materialise(cells.join(shared, ["band", "h"]), "buckets")
-    # the members of a bucket take turns as pivots by a hash, each once
-    turn = F.shiftright(F.pmod(F.xxhash64("key", "band"), F.lit(1 << 30)) * F.col("n"), 30)
-    cells = materialise(met_in.join(met_in.groupBy("key").agg(F.sum("n").alias("meets")), "key").withColumn("turn", turn), "cells")
-    drop_table(met_in)
-    seen = cells.select("key").distinct().join(nodes.select("key", "rep"), "key")
-    same = (F.coalesce(base.doc_id, F.lit(-1)) == F.coalesce(F.col("r.rep"), F.lit(-1))) & (base.key == F.col("r.key"))
-    texts = base.join(seen.alias("r"), same, "left_semi").select("key", "text").mapInArrow(_sequences, "key binary, seq binary")
+    cells = materialise(met_in.join(met_in.groupBy("key").agg(F.sum("n").alias("meets")), "key"), "cells")
+    for table in (shared, met_in):
+        drop_table(table)
+    members = cells.select("key").distinct()
+    seen = materialise(members.join(nodes.select("key", "rep", "bands"), "key"), "members")
+    of_text = seen.select(F.col("key").alias("seen_key"), "rep")
+    if seen.count() <= most_broadcast:
+        of_text = F.broadcast(of_text)
+    same = F.col("key").eqNullSafe(F.col("seen_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    texts = base.join(of_text, same, "left_semi").select("key", "text").mapInArrow(_sequences, "key binary, seq binary")
     texts = materialise(texts.dropDuplicates(["key"]), "sequences")
 
-    labels = None
-    tested, round_, below, upto = [], 0, 0, 0
-    while True:
-        if round_ == max_rounds:
-            raise RuntimeError("buckets still hold untested pairs")
-        if labels is not None:
-            below, upto = upto, upto + GROWTH**round_
-        pool = cells if labels is None else cells.where(f"n > 2 and turn >= {below}").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        label = F.col("key") if labels is None else F.col("label")
-        if labels is None:
-            rank = F.struct(-F.col("meets"), F.xxhash64("key"))
-            firsts = F.min(F.struct(rank.alias("rank"), F.col("key").alias("pivot"), label.alias("pivot_label"), F.col("size").alias("pivot_size")))
-            pivots = pool.groupBy("band", "h").agg(firsts.alias("p")).select("band", "h", "p.pivot", "p.pivot_label", "p.pivot_size")
-        else:
-            # a bucket is done once its members without a turn so far are of one class
-            pool = materialise(pool.join(pool.groupBy("band", "h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band", "h"), ["band", "h"]), "pool")
-            if pool.isEmpty():
-                drop_table(pool)
-                break
-            pivots = pool.where(f"turn < {upto}").select("band", "h", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"), F.col("size").alias("pivot_size"))
-        # sizes further apart than the threshold allows rule a pair out, as in similarity()
-        near = F.least("size", "pivot_size") >= F.lit(least) * F.greatest("size", "pivot_size")
-        met = pool.join(pivots, ["band", "h"]).where((label != F.col("pivot_label")) & near).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        for old in tested:
-            met = met.join(old, ["a", "b"], "left_anti")
-        one, two = texts.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), texts.select(F.col("key").alias("b"), F.col("seq").alias("seq_b"))
-        judged = materialise(met.join(one, "a").join(two, "b").mapInArrow(_verifier(least), "a binary, b binary, sim double"), "pairs")
-        tested.append(judged.select("a", "b"))
-        found = judged.where(F.col("sim") >= least).select("a", "b")
-        if labels is not None:
-            drop_table(pool)
-        round_ += 1
-        if labels is None:
-            labels = components(found)
-        elif not found.isEmpty():
-            labels = joined_classes(labels, found)
-    drop_table(cells)
-    drop_table(texts)
+    # 1. every text with its buckets' pivots
+    rank = F.struct(-F.col("meets"), F.xxhash64("key"))
+    firsts = F.min(F.struct(rank.alias("rank"), F.col("key").alias("pivot"), F.col("size").alias("pivot_size")))
+    pivots = materialise(cells.groupBy("band", "h").agg(firsts.alias("p")).select("band", "h", "p.pivot", "p.pivot_size"), "pivots")
+    # sizes further apart than the threshold allows rule a pair out, as in similarity()
+    near = F.least("size", "pivot_size") >= F.lit(least) * F.greatest("size", "pivot_size")
+    met = cells.join(pivots, ["band", "h"]).where((F.col("key") != F.col("pivot")) & near).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+    one, two = texts.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), texts.select(F.col("key").alias("b"), F.col("seq").alias("seq_b"))
+    judged = met.join(one, "a").join(two, "b").mapInArrow(_verifier(least), "a binary, b binary, sim double")
+    links = materialise(judged.where(F.col("sim") >= least).select("a", "b"), "pairs")
+    labels = components(links)
+    drop_table(links)
+    # 2. and 3. what is left in open buckets
+    pool = open_buckets(cells, labels, texts, least)
+    dealt = in_block_pairs(pool, block_bytes).join(texts, "key").join(seen.select("key", "bands"), "key")
+    found = dealt.groupBy("band", "h", "i", "j").applyInArrow(lambda group: link_blocks(group, least), "a binary, b binary")
+    found = materialise(found.distinct(), "pairs")
+    if not found.isEmpty():
+        labels = joined_classes(labels, found)
+    for table in (cells, texts, found, seen, pivots, pool):
+        drop_table(table)
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"))
     classes = placed.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     of_text = placed.join(classes, "label").select("key", "class_id", "class_size")
@@ -237,10 +316,12 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: f
 def keep_first_of_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row with the class id stays, and one only."""
     classes = near_classes(docs, **options)
-    firsts = classes.where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key"))
-    lead = materialise(firsts.agg((F.count_if(F.col("class_size") > 1) > 1).alias("repeated")), "kept")
-    digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & digest.eqNullSafe(F.col("keep_key"))
-    got = docs.join(lead, same)
-    once = got.where("repeated").dropDuplicates(["keep_id", "keep_key"])
-    return got.where("not repeated").unionByName(once).select(*docs.columns)
+    firsts = classes.where("doc_id <=> class_id").groupBy("doc_id", "key").agg((F.count_if(F.col("class_size") > 1) > 1).alias("repeated"))
+    # no column of docs has one of these names
+    taken = {c.lower() for c in docs.columns}
+    keep_id, keep_key, repeated = (next(n for n in (f"_{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("id", "key", "again"))
+    lead = materialise(firsts.toDF(keep_id, keep_key, repeated), "kept")
+    digest = F.unhex(F.md5(docs["text"].cast("string").cast("binary")))
+    got = docs.join(lead, docs["doc_id"].cast("long").eqNullSafe(F.col(keep_id)) & digest.eqNullSafe(F.col(keep_key)))
+    once = got.where(F.col(repeated)).dropDuplicates([keep_id, keep_key])
+    return got.where(~F.col(repeated)).unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from docloom.llm.components import components
 from docloom.llm.orderminhash import keep_first_of_class, near_classes, shingles, similarity
 
@@ -117,10 +119,45 @@ def test_every_pair_of_a_bucket_is_tested(spark):
     rows = [(i, " ".join(start + [f"x{rnd.randrange(10**6)}" for _ in range(30)])) for i in range(60)]
     twin = start + [f"y{i}" for i in range(30)]
     rows += [(100, " ".join(twin)), (101, " ".join([*twin[:-1], "z"]))]
-    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1, block_bytes=1500, most_broadcast=0).collect()}
     texts = [t for _, t in sorted(rows)]
     from docloom.llm.orderminhash import sketch
 
     shared = [sketch(s, 1, 1)[0] for s in shingles(texts)]
     assert shared[-1] == shared[-2] and shared.count(shared[-1]) > 10
     assert got[101] == 100 and got[100] == 100 and all(got[i] == i for i in range(60))
+
+
+def test_blocks_lose_no_link(spark):
+    rows = corpus()
+    whole = {(r.doc_id, r.key, r.class_id, r.class_size) for r in near_classes(spark.createDataFrame(rows, KINDS)).collect()}
+    assert {(r.doc_id, r.key, r.class_id, r.class_size) for r in near_classes(spark.createDataFrame(rows, KINDS), block_bytes=700).collect()} == whole
+
+
+def test_recall_on_real_text_with_planted_edits(spark):
+    # chains of edits, inserted and dropped passages over real text, against all pairs
+    rnd = random.Random(12)
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and 60 < len(r.text.split()) < 600]
+    rows = [(i, t) for i, t in enumerate(real)]
+    for base in rnd.sample(real, 25):
+        w = base.split()
+        for _ in range(6):
+            w = list(w)
+            for _ in range(max(1, len(w) // 70)):
+                k = rnd.randrange(len(w))
+                w[k : k + rnd.randint(0, 2)] = [f"e{rnd.randrange(99)}"] * rnd.randint(0, 2)
+            rows.append((len(rows), " ".join(w)))
+    want = brute([(*r, "en", "s", 1, "x") for r in rows])
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies = [(i, t) for i, t in rows if want[t][1] > 1]
+    assert len(copies) > 150 and sum(got[i] == want[t] for i, t in copies) >= 0.99 * len(copies)
+    assert all(got[i] == want[t] for i, t in rows if want[t][1] == 1)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rnd = random.Random(13)
+    long = " ".join(f"u{rnd.randrange(10**6)}" for _ in range(150_000))
+    rows = [(2, long, 1, "a"), (1, long + " more", 2, "b"), (3, "short", 3, "c"), (None, None, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repeated int, keep_id string").withColumns({"keep_key": F.lit(1), "_id0": F.lit(1), "_AGAIN0": F.lit(2), "key": F.lit(3)})
+    kept = keep_first_of_class(docs)
+    assert kept.columns == docs.columns and sorted(r.repeated for r in kept.collect()) == [2, 3, 4]
