@@ -76,8 +76,8 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import DOMAINS, mixing_rates
 
-    scored, r = mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", scored["_tokens"].alias("n_tokens"), *(scored["_p"][i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), r.alias("rate"))
+    scored, tokens, p, r = mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", tokens.alias("n_tokens"), *(p[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), r.alias("rate"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -86,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from docloom.llm.sql import OP4_SQL, OP5_SQL, OP6_SQL
+    from docloom.llm import sql
+    from docloom.llm.quality import PRODUCTION, RULES, mask
 
-    return {"op4_substring_doubling": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_warc_revisits": OP6_SQL}
+    bits = " | ".join(f"(case when {rule} then {1 << i}::bigint else 0::bigint end)" for i, rule in enumerate(RULES.values()))
+    op3 = sql.OP3_SQL.replace("{bits}", bits).replace("{base}", str(mask("base"))).replace("{all}", str(mask("base") | mask(PRODUCTION)))
+    return {"op3_quality_rules": op3, "op4_substring_doubling": sql.OP4_SQL, "op5_chat_formatting": sql.OP5_SQL, "op6_warc_revisits": sql.OP6_SQL, "op8_suffix_bwt": sql.OP8_SQL}
