@@ -9,8 +9,10 @@ itself. A match of fewer than four words outside placeholders says too little an
 
 Digits within a word are part of it. A name is a capitalised word. In an item, those that no lower-case letter, digit
 or one of , ; : and a blank precede may begin a sentence only: its windows are read with them as names and as words,
-the first word and the others apart. Items with fewer than eight tokens are too short to search for. Null texts and null items match nothing. Repeated rows are judged
-together by (doc_id, text); null ids are judged too. Equal hits of several items give a row each.
+the first word and the others apart. Items of four to seven tokens are searched for as one window of their own length; shorter ones
+tell nothing and are not. Null texts and null items match nothing. Repeated rows are judged together by (doc_id, text);
+null ids are judged too. Equal hits of several items give a row each; texts that share an item_id are items of their
+own, of which one row is left.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MIN_TOKENS, LEAST_WORDS = 8, 13, 4
-#: The most benchmark windows that are broadcast (24 bytes each); beyond it the join is shuffled.
+from docloom.llm.common import materialise
+
+WINDOW, MIN_TOKENS, LEAST_WORDS, LEAST_ITEM = 8, 13, 4, 4
+#: The most benchmark windows, and keys of documents with hits, that are broadcast (24 bytes each); beyond it the joins
+#: are shuffled.
 MOST_BROADCAST = 2_000_000
 MARK = "\x02"
 #: Units that may follow a number (fixed values).
@@ -53,40 +58,51 @@ def _readings(toks: Column) -> Column:
     return F.array_distinct(F.array(*(read(a, b) for a in (name, word) for b in (name, word))))
 
 
-def windows(rows: DataFrame, keep: list[str], toks: Column) -> DataFrame:
-    """keep, pos (from 0) and h for each template window; windows' hashes come from pairs of their halves.
+def windows(rows: DataFrame, keep: list[str], toks: Column, size: int = WINDOW) -> DataFrame:
+    """keep, pos (from 0) and h for each template window of size tokens; a window's hash comes from those of its parts.
 
     Each level is a column of its own, as an expression that names its operand several times is evaluated as often."""
     got = rows.withColumn("_toks", toks).withColumn("_h1", F.transform("_toks", lambda t: F.xxhash64(_template(t))))
+    joined = lambda one, two, span, more: F.zip_with(F.slice(one, 1, more), F.slice(two, span + 1, more), lambda a, b: F.xxhash64(a, b))
     span = 1
-    while span < WINDOW:
+    while span * 2 <= size:
         h = f"_h{span}"
-        left = F.greatest(F.size(h) - span, F.lit(0))
-        got = got.withColumn(f"_h{2 * span}", F.zip_with(F.slice(h, 1, left), F.slice(h, span + 1, left), lambda a, b: F.xxhash64(a, b)))
+        got = got.withColumn(f"_h{2 * span}", joined(h, h, span, F.greatest(F.size(h) - span, F.lit(0))))
         span *= 2
+    h = f"_h{span}"
+    while span < size:  # the powers of two that size is made of
+        part = 1 << ((size - span).bit_length() - 1)
+        got = got.withColumn(f"_w{span + part}", joined(h, f"_h{part}", span, F.greatest(F.size(h) - part, F.lit(0))))
+        span += part
+        h = f"_w{span}"
     # outer: else the hashes are computed once more to filter on their number
-    return got.select(*keep, F.posexplode_outer(f"_h{WINDOW}").alias("pos", "h"))
+    return got.select(*keep, F.posexplode_outer(h).alias("pos", "h"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(row_key, doc_id, item_id, n_windows, first_token, n_slots) per document and item that match; row_key is the
     64-bit hash of the row's id and text."""
+    few = lambda df: F.broadcast(df) if df.limit(most_broadcast + 1).count() <= most_broadcast else df
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = raw.withColumn("row_key", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text_col).cast("string"), initials=True).alias("item_toks"))
-    items = items.where(F.size("item_toks") >= WINDOW).distinct()
-    read = items.select("item_id", F.explode(_readings(F.col("item_toks"))).alias("reading"))
-    wanted = windows(read, ["item_id"], F.col("reading")).where("h is not null").select("item_id", F.col("pos").alias("item_pos"), "h").distinct()
-    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    have = windows(base, ["row_key"], tokens(F.col("text")))
-    hits = have.join(wanted, "h").select("row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos").distinct()
-    runs = hits.groupBy("row_key", "item_id", "shift").agg(F.count("*").alias("n_windows"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    runs = runs.join(items, "item_id")
-    runs = runs.where(F.col("n_windows") >= F.least(F.lit(min_tokens), F.size("item_toks")) - (WINDOW - 1))
+    items = items.where(F.size("item_toks") >= LEAST_ITEM).distinct().withColumn("item_key", F.xxhash64("item_id", "item_toks"))
+    read = items.select("item_key", F.size("item_toks").alias("n"), F.explode(_readings(F.col("item_toks"))).alias("reading"))
+    hits = None
+    for n in sorted({min(r.n, WINDOW) for r in read.select("n").distinct().collect() if r.n < WINDOW} | {WINDOW}):  # five lengths at most
+        want = windows(read.where(F.col("n") >= n if n == WINDOW else F.col("n") == n), ["item_key"], F.col("reading"), n)
+        want = few(want.where("h is not null").select("item_key", F.col("pos").alias("item_pos"), "h").distinct())
+        have = windows(base, ["row_key"], tokens(F.col("text")), n)
+        met = have.join(want, "h").select("row_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos").distinct()
+        hits = met if hits is None else hits.unionByName(met)
+    runs = hits.groupBy("row_key", "item_key", "shift").agg(F.count("*").alias("n_windows"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
+    runs = runs.join(items, "item_key")
+    length = F.size("item_toks")
+    runs = materialise(runs.where(F.col("n_windows") >= F.greatest(F.lit(1), F.least(F.lit(min_tokens), length) - (WINDOW - 1))), "runs")
+    # only the few texts with runs are read again and carried on
+    with_text = base.join(few(runs.select("row_key").distinct()), "row_key", "left_semi").dropDuplicates(["row_key"]).join(runs, "row_key")
     # slots of the matched stretch, from the document's own tokens
-    with_text = base.distinct().join(runs, "row_key")
-    size = F.col("last") - F.col("first") + WINDOW
+    size = F.col("last") - F.col("first") + F.least(F.lit(WINDOW), F.size("item_toks"))
     mine = F.slice("item_toks", F.col("first") + 1, size)
     theirs = F.slice("toks", F.col("first") + F.col("shift") + 1, size)
     both = F.zip_with(mine, theirs, lambda a, b: F.struct(F.regexp_replace(a, f"^{MARK}i", f"{MARK}p").alias("i"), b.alias("d")))
@@ -94,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     slots = F.filter("both", lambda p: p["i"].startswith(MARK) & (F.substring(p["i"], 1, 2) == F.substring(p["d"], 1, 2)))
     paired = paired.withColumn("pairs", F.array_distinct(slots))
     one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    worded = F.size(F.filter("both", lambda p: ~p["i"].startswith(MARK))) >= LEAST_WORDS
+    worded = F.size(F.filter("both", lambda p: ~p["d"].startswith(MARK))) >= LEAST_WORDS
     verbatim = F.forall("pairs", lambda p: p["i"] == p["d"])
     found = paired.where(one & (worded | verbatim))
     return found.groupBy("row_key", "doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min(F.col("first") + F.col("shift")).alias("first_token"), F.max(F.size("pairs")).alias("n_slots"))
@@ -102,5 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that match no item."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("row_key").alias("bad_key")).distinct()
-    return docs.join(bad, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("bad_key"), "left_anti")
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"_bad{i}" for i in range(len(taken) + 1)) if n not in taken)
+    bad = contaminated(docs, benchmark, **options).select(F.col("row_key").alias(name)).distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == F.col(name), "left_anti")
