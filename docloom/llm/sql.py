@@ -30,23 +30,66 @@ from t group by conv_id
 """
 
 OP6_SQL = r"""
-with c as (
-  select page_id, url, '"' || md5(coalesce(html, '')) || '"' as tag, page_id % 7 as k,
-    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare
+with p as (
+  select page_id, page_id % 7 as k, page_id // 40 as v,
+    (case page_id % 2 when 0 then 'http://' else 'https://www.' end) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*\.)?([^./?#]+\.[^./?#]+/[^/?#]*)', 1) || case page_id % 3 when 0 then '' when 1 then '/' else '#top' end as url
   from pages
+), c as (
+  select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from p
 ), n as (
   select *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
-      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
-      || case when regexp_extract(bare, '\?(.*)$', 1) = '' then '' else '?' || array_to_string(list_sort(string_split(regexp_extract(bare, '\?(.*)$', 1), '&')), '&') end as url_key
+      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as url_key
   from c
-), r as (
-  select a.page_id * 2 + 1 as record_id, a.url_key, a.page_id * 10 + 5 as ts, a.page_id as p, a.tag, a.k, b.page_id as q, b.tag as b_tag
-  from n a asof join n b on a.url_key = b.url_key and a.page_id * 10 + 5 > b.page_id * 10
 ), s as (
-  select *, case when k = 3 then 'validator_mismatch' when k = 5 then case when p = q then 'resolved' else 'validator_mismatch' end
-    when tag = b_tag then 'resolved' else 'validator_mismatch' end as status from r
+  select a.page_id, a.url_key, a.k, a.v, b.page_id as q, b.v as w,
+    case when b.page_id is null then 'no_response' when a.k = 6 or a.v = b.v then 'resolved' else 'validator_mismatch' end as status
+  from (select * from n where k not in (0, 3)) a asof left join (select * from n where k in (0, 3)) b on a.url_key = b.url_key and a.page_id > b.page_id
 )
-select record_id, url_key, ts, case when status = 'resolved' then q * 2 end as response_id, case when status = 'resolved' then q * 10 end as response_ts, status,
-  case when status = 'resolved' then 'content-type=text/html;date=u' || p || ';etag=' || (case when k = 5 then b_tag else 'W/' || tag end) || ';last-modified=t' || q end as headers
+select page_id as record_id, url_key, page_id * 10 as ts, case when status = 'resolved' then q end as response_id, case when status = 'resolved' then q * 10 end as response_ts, status,
+  case when status = 'resolved' then 'content-type=text/html;date=u' || page_id || ';etag=' || (case when k in (5, 6) then '' else 'W/' end) || '"v' || w || '";last-modified=t' || w end as headers
 from s
 """
+
+#: The words of a text (null: none) and its lines; measurements and rules are those of quality.py.
+OP3_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) as ls
+  from documents
+), spots as (
+  select r, unnest(range(1, len(ws) - 1)) as i from d where len(ws) >= 3
+), w as (
+  select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as t from spots join d using (r)
+), again as (
+  select r, count(distinct i + k) as n from (select r, i from w join (select r, t from w group by r, t having count(*) > 1) using (r, t)), (select unnest(range(0, 3)) as k) group by r
+), m as (
+  select doc_id, len(ws) as n_words, length(regexp_replace(text, '[ \x09-\x0D]', '', 'g')) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+    coalesce(n, 0) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_upper,
+    length(regexp_replace(text, '[^a-z]', '', 'g')) as n_lower, length(regexp_replace(text, '[^!]', '', 'g')) as n_bang,
+    len(list_distinct(ws)) as n_distinct_words, len(list_filter(ws, lambda x: strlen(x) > 40)) as n_long_words,
+    length(regexp_replace(text, '[^\x00-\x08\x0E-\x1F\x{FFFD}]', '', 'g')) as n_control
+  from d left join again using (r)
+), f as (select *, {bits} as fail_bits from m)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+  (fail_bits & {base}) <> 0 as base_failed, (fail_bits & {all}) = 0 as kept, fail_bits
+from f
+"""
+
+OP8_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), w as (
+  select r, doc_id, i, substr(x, 2 * i - 1, 2) as byte, case when 2 * i + 98 <= length(x) then substr(x, 2 * i - 1, 100) end as s
+  from (select *, unnest(range(1, length(x) // 2 + 1)) as i from d)
+), first_in as (select s, min(doc_id) as m from w where s is not null group by s),
+g as (select r, i, byte, coalesce(m < doc_id, false) as later from w left join first_in using (s)),
+c as (select r, i, byte, coalesce(max(case when later then i end) over (partition by r order by i rows between 49 preceding and current row) is not null, false) as gone from g),
+e as (select *, gone and not coalesce(lag(gone) over (partition by r order by i), false) as opens from c),
+t as (select r, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, string_agg(byte, '' order by i) filter (not gone) as kept from e group by r)
+select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join t using (r)
+"""

@@ -12,7 +12,8 @@ slot and at what is carried to it. A URL with a third of all captures is spread
 Canonical URL: scheme and host in lower case, no "www.", default port, fragment or trailing slash, query parameters
 sorted. Records without a URL or time resolve to nothing. Of responses with the same URL and time the one with the
 greatest id counts; null ids come first. Repeated revisits are resolved each. Null headers are no
-headers. A null or empty body is a body.
+headers. Values of header names that differ in case only are joined by ", " in their order. A null or empty body is a
+body.
 """
 
 from __future__ import annotations
@@ -52,9 +53,11 @@ def resolve(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     full = F.struct("ts", "record_id", "headers")
     answers = base.where("kind = 'response' and url_key is not null and ts is not null")
     last = answers.select("url_key", "slot", "ts", "record_id", F.map_entries("headers").alias("headers")).groupBy("url_key", "slot").agg(F.max(full).alias("last"))
-    asked = base.where("kind = 'revisit'")
+    # records without a URL or time have nothing to look for, and would all be of one key
+    lost = base.where("kind = 'revisit' and (url_key is null or ts is null)")
+    asked = base.where("kind = 'revisit' and url_key is not null and ts is not null")
     # what earlier slots hand on, for slots with revisits
-    marks = last.select("url_key", "slot", "last").unionByName(asked.where("url_key is not null and ts is not null").select("url_key", "slot").distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType)))
+    marks = last.select("url_key", "slot", "last").unionByName(asked.select("url_key", "slot").distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType)))
     marks = marks.groupBy("url_key", "slot").agg(F.max("last").alias("last"), F.count_if(F.col("last").isNull()).alias("asked"))
     before = Window.partitionBy("url_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("asked > 0").select("url_key", "slot", "carried")
@@ -66,18 +69,16 @@ def resolve(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     order = Window.partitionBy("url_key", "slot").orderBy("ts", F.col("is_asked").desc(), F.col("near.record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = both.withColumn("near", F.last("near", ignorenulls=True).over(order)).where("is_asked = 1")
     got = inside.join(carried, ["url_key", "slot"], "left").select(F.col("row.record_id").alias("record_id"), "url_key", F.col("row.ts").alias("ts"), F.map_from_entries("row.headers").alias("mine"), F.coalesce("near", "carried").alias("r"))
-    theirs = F.map_from_entries("r.headers")
-    tag = lambda h: F.regexp_replace(F.get(F.map_values(F.map_filter(h, lambda k, v: F.lower(k) == "etag")), F.lit(0)), "^W/", "")
-    since = lambda h: F.get(F.map_values(F.map_filter(h, lambda k, v: F.lower(k) == "last-modified")), F.lit(0))
-    mine = F.col("mine")
+    got = got.select("record_id", "url_key", "ts", "r", _lowered(F.map_entries("mine")).alias("mine"), _lowered(F.col("r.headers")).alias("theirs"))
+    tag = lambda h: F.regexp_replace(F.try_element_at(h, F.lit("etag")), "^W/", "")
+    since = lambda h: F.try_element_at(h, F.lit("last-modified"))
+    mine, theirs = F.col("mine"), F.col("theirs")
     agrees = F.when(tag(mine).isNotNull(), F.coalesce(tag(mine) == tag(theirs), F.lit(False))).when(since(mine).isNotNull(), F.coalesce(since(mine) == since(theirs), F.lit(False))).otherwise(True)
-    found = F.col("url_key").isNotNull() & F.col("ts").isNotNull() & F.col("r").isNotNull()
-    status = F.when(~found, "no_response").when(agrees, "resolved").otherwise("validator_mismatch")
-    lowered = lambda h: F.map_from_entries(F.array_sort(F.array_distinct(F.transform(F.map_entries(h), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))))
-    update = F.map_filter(lowered(mine), lambda k, v: k.isin(*PERMITTED))
-    kept = F.map_filter(lowered(theirs), lambda k, v: ~F.map_contains_key(update, k))
+    status = F.when(F.col("r").isNull(), "no_response").when(agrees, "resolved").otherwise("validator_mismatch")
+    update = F.map_filter(mine, lambda k, v: k.isin(*PERMITTED))
+    kept = F.map_filter(theirs, lambda k, v: ~F.map_contains_key(update, k))
     ok = status == "resolved"
-    return got.select(
+    found = got.select(
         "record_id",
         "url_key",
         "ts",
@@ -86,6 +87,15 @@ def resolve(records: DataFrame, slots: int = SLOTS) -> DataFrame:
         status.alias("status"),
         F.when(ok, F.map_concat(kept, update)).alias("headers"),
     )
+    nothing = {c: F.lit(None).cast(found.schema[c].dataType) for c in ("response_id", "response_ts", "headers")}
+    return found.unionByName(lost.select("record_id", "url_key", "ts", F.lit("no_response").alias("status")).withColumns(nothing))
+
+
+def _lowered(entries: Column) -> Column:
+    """A map of header names in lower case, sorted by name."""
+    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"]))))
+    values = lambda n: F.array_sort(F.filter(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), lambda v: v.isNotNull()))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.when(F.size(values(n)) > 0, F.array_join(values(n), ", "))))
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
@@ -111,7 +121,10 @@ def read_warc(data: bytes) -> Iterator[dict]:
         block = raw.read(int(head.get("content-length", 0)))
         http, _, body = block.partition(b"\r\n\r\n")
         lines = http.decode("latin-1").split("\r\n")
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
+        headers: dict[str, str] = {}
+        for k, _, v in (x.partition(":") for x in lines[1:]):
+            if k:  # repeated fields are one list, in their order (RFC 9110, 5.3)
+                headers[k.strip()] = f"{headers[k.strip()]}, {v.strip()}" if k.strip() in headers else v.strip()
         when = head.get("warc-date")
         ts = int(datetime.fromisoformat(when.replace("Z", "+00:00")).timestamp()) if when else None
         yield {"kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "ts": ts, "headers": headers, "body": body.decode("utf-8", "replace")}
@@ -134,15 +147,25 @@ def read_warcs(spark, path: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """pages as the captures of an archive (RECORD): each page is fetched whole at ts 10 * page_id, and asked for again
-    5 later under its URL without fragment; of every seven pages one has changed its ETag by then, and one answers
-    with Last-Modified alone. record_id is 2 * page_id, and one more for the revisit."""
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    k = F.pmod(F.col("page_id"), F.lit(7))
-    stamp = F.concat(F.lit("t"), F.col("page_id").cast("string"))
-    full = pages.select((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), "url", (F.col("page_id") * 10).alias("ts"), F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), stamp, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), stamp).alias("headers"), F.col("html").alias("body"))
-    changed = F.when(k == 3, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
-    late = F.concat(F.lit("u"), F.col("page_id").cast("string"))
-    headers = F.when(k == 5, F.create_map(F.lit("last-modified"), stamp, F.lit("date"), late, F.lit("x-other"), F.lit("no"))).otherwise(F.create_map(F.lit("etag"), changed, F.lit("date"), late, F.lit("x-other"), F.lit("no")))
-    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.regexp_replace("url", "#.*$", "").alias("url"), (F.col("page_id") * 10 + 5).alias("ts"), headers.alias("headers"), F.lit(None).cast("string").alias("body"))
-    return full.unionByName(again)
+    """pages as the captures of an archive (RECORD): each page is a capture, at ts 10 * page_id, of a section of its
+    domain (the last two labels of the host and the first segment of the path), whose URL is written in six ways. Of every seven pages two are full
+    responses; the others are revisits, which may come before any response. A section's validators change every 40 pages.
+    Of the revisits most have an ETag, one in seven Last-Modified alone, and one in seven neither. record_id is page_id."""
+    page, k = F.col("page_id"), F.pmod(F.col("page_id"), F.lit(7))
+    section = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*\.)?([^./?#]+\.[^./?#]+/[^/?#]*)", 1)
+    host = F.when(page % 2 == 0, "http://").otherwise("https://www.")
+    written = F.when(page % 3 == 0, "").when(page % 3 == 1, "/").otherwise("#top")
+    version = F.floor(page / 40).cast("string")
+    tag, stamp = F.concat(F.lit('"v'), version, F.lit('"')), F.concat(F.lit("t"), version)
+    full = F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), stamp, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.concat(F.lit("d"), page.cast("string")))
+    late = (F.lit("date"), F.concat(F.lit("u"), page.cast("string")), F.lit("x-other"), F.lit("no"))
+    again = F.when(k == 5, F.create_map(F.lit("last-modified"), stamp, *late)).when(k == 6, F.create_map(*late)).otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), *late))
+    whole = k.isin(0, 3)
+    return pages.select(
+        page.cast("long").alias("record_id"),
+        F.when(whole, "response").otherwise("revisit").alias("kind"),
+        F.concat(host, section, written).alias("url"),
+        (page.cast("long") * 10).alias("ts"),
+        F.when(whole, full).otherwise(again).alias("headers"),
+        F.when(whole, F.col("html")).alias("body"),
+    )

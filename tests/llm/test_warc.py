@@ -66,3 +66,15 @@ def test_files(spark, tmp_path):
     records = read_warcs(spark, str(tmp_path / "*.gz"))
     r = with_bodies(resolve(records), records).first()
     assert (r.status, r.body, r.headers) == ("resolved", "hello\r\n\r\nworld", {"etag": '"1"', "date": "d2"})
+
+
+def test_header_names_that_differ_in_case(spark):
+    rows = [
+        (1, "response", "http://a.com/x", 1, {"ETag": '"1"', "etag": '"1"', "X-A": "2", "x-a": "1", "Vary": None}, "b"),
+        (2, "revisit", "http://a.com/x", 2, {"ETAG": '"1", "1"', "Date": "d", "date": "c"}, None),
+        (3, "revisit", None, 2, {"ETag": '"1"'}, None),
+        (4, "revisit", "http://a.com/x", None, None, None),
+    ]
+    got = {r.record_id: r for r in resolve(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got[2].status == "resolved" and got[2].headers == {"etag": '"1", "1"', "x-a": "1, 2", "vary": None, "date": "c, d"}
+    assert [got[k].status for k in (3, 4)] == ["no_response"] * 2 and got[3].headers is None and len(got) == 3
