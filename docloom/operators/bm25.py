@@ -1,43 +1,62 @@
 """Inverted index and BM25 retrieval.
 
 The index is a table of postings (term, docid, tf) with document lengths; a search joins it with the queries' terms
-and keeps k documents a query. Only postings of query terms are scored: the terms are joined before anything is summed.
+and keeps k documents a query. Only postings of query terms are scored: the terms are joined before anything is summed. A tokenizer must not give empty tokens.
 Scores are rounded to six digits before ranking, and ties go by docid, so ranks do not depend on the order of sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokenize
+from docloom.operators.numbering import checkpointed
+
+#: From a column name to an array of tokens; a pandas UDF over another tokenizer will do.
+Tokenizer = Callable[[str], Column]
+#: Distinct query terms up to which they are broadcast.
+BROADCAST_TERMS = 1_000_000
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, cut: Tokenizer = tokenize) -> DataFrame:
     """(docid, term, tf) of docs(docid, contents)."""
-    return docs.select("docid", F.explode(tokenize("contents")).alias("term")).groupBy("docid", "term").agg(F.count("*").alias("tf"))
+    return docs.select("docid", F.explode(cut("contents")).alias("term")).groupBy("docid", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(docs: DataFrame) -> DataFrame:
+def lengths(docs: DataFrame, cut: Tokenizer = tokenize) -> DataFrame:
     """(docid, len) in tokens, without exploding; documents without tokens have none."""
-    return docs.select("docid", F.size(tokenize("contents")).cast("long").alias("len")).where("len > 0")
+    return docs.select("docid", F.size(cut("contents")).cast("long").alias("len")).where("len > 0")
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
+def corpus_stats(docs: DataFrame, cut: Tokenizer = tokenize) -> DataFrame:
     """One row: n documents, average length over all of them."""
-    size = F.size(tokenize("contents")).cast("long")
+    size = F.size(cut("contents")).cast("long")
     return docs.agg(F.count("*").alias("n"), (F.coalesce(F.sum(size), F.lit(0)).cast("double") / F.count("*")).alias("avgdl"))
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 0.82, b: float = 0.68) -> DataFrame:
+def query_postings(docs: DataFrame, terms: DataFrame, cut: Tokenizer = tokenize) -> DataFrame:
+    """(docid, term, len, tf) of docs(docid, contents) for terms(term), and a row of the term "" for each document, with
+    its length. The corpus is read and cut once; terms that a count finds few enough are broadcast, so that other
+    tokens go before anything is shuffled. Written to the checkpoint folder: several sums read it."""
+    wanted = checkpointed(terms.select("term").unionByName(docs.sparkSession.sql("select '' as term")).distinct())
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    whole = docs.select("docid", F.coalesce(cut("contents"), F.array().cast("array<string>")).alias("toks"))
+    tokens = whole.select("docid", F.size("toks").alias("len"), F.explode(F.array_append("toks", F.lit(""))).alias("term"))
+    return checkpointed(tokens.join(wanted, "term", "left_semi").groupBy("docid", "term", "len").agg(F.count("*").alias("tf")))
+
+
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 0.82, b: float = 0.68, cut: Tokenizer = tokenize) -> DataFrame:
     """(qid, docid, rank, score): the k best documents(docid, contents) for each of queries(qid, query)."""
-    terms = queries.select("qid", F.explode(tokenize("query")).alias("term")).distinct()
-    wanted = terms.select("term").distinct()
-    # a document's length rides along its tokens, so that the corpus is read and cut once
-    cut = docs.select("docid", tokenize("contents").alias("toks")).select("docid", F.size("toks").alias("len"), F.explode("toks").alias("term"))
-    found = cut.join(wanted, "term", "left_semi").groupBy("docid", "term", "len").agg(F.count("*").alias("tf"))
+    terms = queries.select("qid", F.explode(cut("query")).alias("term")).distinct()
+    held = query_postings(docs, terms, cut)
+    found = held.where("term <> ''")
+    stats = held.where("term = ''").agg(F.sum("tf").alias("n"), (F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0)).cast("double") / F.sum("tf")).alias("avgdl"))
     per_term = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = terms.join(per_term, "term").join(found, "term").join(F.broadcast(corpus_stats(docs)))
+    scored = terms.join(per_term, "term").join(found, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     sums = scored.groupBy("qid", "docid").agg(F.round(F.sum(part), 6).alias("score"))

@@ -18,11 +18,13 @@ def document_targets(rows: DataFrame) -> DataFrame:
     return rows.select("text_id", F.inline(kinds))
 
 
-def targets(rows: DataFrame, known: DataFrame, mode: str = "auto") -> DataFrame:
-    """rows(raw_id, numeric_id, url, ...) with target and how it was found among known(text_id, numeric_id, url).
+def targets(rows: DataFrame, known: DataFrame, mode: str = "auto", as_text: Column | None = None) -> DataFrame:
+    """rows(raw_id, numeric_id, url, ...) with target and how it was found among known(text_id, numeric_id, url). as_text
+    is the raw id in the form of text ids, if that is another.
 
     auto: the numeric id, else the raw id read as numeric, else the raw id as a text id that is known. numeric_id: the
     first two. text_id: a known numeric id still wins, else the raw id whether known or not. url: the URL alone."""
+    as_text = F.col("raw_id") if as_text is None else as_text
     by_numeric = known.select(F.col("numeric_id").alias("_k1"), F.col("text_id").alias("_numeric"))
     by_raw = known.select(F.col("numeric_id").alias("_k2"), F.col("text_id").alias("_raw"))
     by_url = known.select(F.col("url").alias("_k3"), F.col("text_id").alias("_url"))
@@ -34,7 +36,7 @@ def targets(rows: DataFrame, known: DataFrame, mode: str = "auto") -> DataFrame:
     if "raw" in use:
         got = got.join(by_raw, F.col("raw_id") == F.col("_k2"), "left")
     if "text" in use:
-        got = got.join(by_text, F.concat(F.lit("d"), "raw_id") == F.col("_k4"), "left")
+        got = got.join(by_text, as_text == F.col("_k4"), "left")
     if "url" in use:
         got = got.join(by_url, (F.col("url") != "") & (F.col("url") == F.col("_k3")), "left")
     names = {"numeric": "numeric_id", "raw": "raw_numeric", "text": "text_id", "url": "url"}
@@ -43,7 +45,7 @@ def targets(rows: DataFrame, known: DataFrame, mode: str = "auto") -> DataFrame:
     for u in use:
         how = F.when(F.col(f"_{u}").isNotNull(), names[u]) if how is None else how.when(F.col(f"_{u}").isNotNull(), names[u])
     if mode == "text_id":
-        found.append(F.concat(F.lit("d"), "raw_id"))
+        found.append(as_text)
         how = how.otherwise("text_id")
     else:
         how = how.otherwise("none")

@@ -69,7 +69,7 @@ def hybrid_stats(spark, d):
     return g.join(F.broadcast(only)).join(F.broadcast(p)).select("bm25_groups", "model_only", "exact", "fallback", "bm25_shortfall", "n_pairs", "overlap")
 
 
-_BEAMS = f"""truth as (select q.qid, d.docid from queries q join docs d on q.item_id % 10 = d.doc_id % 97), {_TARGET},
+_BEAMS = f"""truth as (select q.qid, d.docid from queries q join docs d on q.item_id = d.doc_id // 20), {_TARGET},
  cd as (select docid, array_to_string(code, ',') as code from codes), tc as (select code, min(target) as target from cd join tgt using (docid) group by 1 having count(distinct target) < 4),
  beams as (select qid, rank, code from run join cd using (docid) where rank <= 15), ps as (select distinct qid, target from truth join tgt using (docid)),
  j as (select b.*, t.target, case when t.target is null then 'unmapped' when p.target is not null then 'positive' end as st from beams b left join tc t using (code) left join ps p on p.qid = b.qid and p.target = t.target),

@@ -12,7 +12,7 @@ from docloom.plans.retrieval import _truth
 
 BAND_QUOTAS = [(1, 20, 3), (21, 100, 2), (101, 200, 3)]
 
-_TRUTH = "truth as (select q.qid, d.docid from queries q join docs d on q.item_id % 10 = d.doc_id % 97)"
+_TRUTH = "truth as (select q.qid, d.docid from queries q join docs d on q.item_id = d.doc_id // 20)"
 _TARGET = "tgt as (select 'd' || doc_id as docid, source || '/' || lang || '/' || (doc_id % 50) as target from documents where doc_id % 14 <> 0)"
 _STATE = f"""{_TRUTH}, {_TARGET}, own as (select distinct t.qid, target from truth t join tgt using (docid)),
  j as (select r.qid, r.docid, r.rank, r.score, g.target, t.docid is not null as pos, o.target is not null as taken from run r left join truth t using (qid, docid) left join tgt g using (docid) left join own o on o.qid = r.qid and o.target = g.target where r.qid in (select qid from truth)),

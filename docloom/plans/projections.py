@@ -125,7 +125,7 @@ def classify_prefix(spark, d):
 
 def _resolved(spark, d, mode):
     known = bridge.originals(spark, d).where("doc_id % 4 <> 1").select("text_id", "numeric_id", "url")
-    return resolve.targets(bridge.augment(spark, d), known, mode).select("row_no", "target", "how")
+    return resolve.targets(bridge.augment(spark, d), known, mode, F.concat(F.lit("d"), "raw_id")).select("row_no", "target", "how")
 
 
 _RESOLVE = """with known as (select text_id, numeric_id, url from originals where doc_id % 4 <> 1),

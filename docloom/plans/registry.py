@@ -13,7 +13,7 @@ TABLES = {
     "queries": "select 'q' || item_id as qid, item_id, text as query from benchmark",
     "qrels": "select q.qid, d.docid, 1 as rel from queries q join docs d on contains(d.body, substr(q.query, 10, 60))",
     "ptab": "select 'p' || page_id as docid, page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, html from pages",
-    "clicks": "select 'o' || l_orderkey as qid, 'part' || l_partkey as docid, l_linenumber as n from lineitem where l_returnflag = 'R' and l_quantity > 45",
+    "clicks": "select 'o' || l_orderkey as qid, 'part' || l_partkey as docid, l_linenumber as n from lineitem",
     "shelf": "select 'part' || p_partkey as docid, p_partkey, p_name as title, p_brand as brand from part",
     "tf": r"select docid, term, count(*) as tf from (select docid, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+')) as term from docs) group by docid, term",
     "dl": "select docid, sum(tf) as len from tf group by docid",

@@ -82,7 +82,7 @@ def candidate_histogram(spark, d):
     return bridge.run(spark, d).where("score > 12").groupBy("qid").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("n_queries"))
 
 
-_PREDICTIONS = "p as (select qid, docid, rank from run union all select qid, docid, 201 from run where rank = 1), truth as (select q.qid, d.docid from queries q join docs d on q.item_id % 10 = d.doc_id % 97), nt as (select qid, count(*) as n from truth group by 1), "
+_PREDICTIONS = "p as (select qid, docid, rank from run union all select qid, docid, 201 from run where rank = 1), truth as (select q.qid, d.docid from queries q join docs d on q.item_id = d.doc_id // 20), nt as (select qid, count(*) as n from truth group by 1), "
 _PER_QUERY = (
     _PREDICTIONS
     + """j as (select p.*, t.docid is not null as rel, t.docid is not null and row_number() over (partition by p.qid, p.docid order by rank) = 1 as first from p left join truth t using (qid, docid) where qid in (select qid from nt)),
@@ -101,8 +101,9 @@ def _predictions(run):
 
 
 def _truth(spark, d):
-    q = bridge.queries(spark, d).select("qid", (F.col("item_id") % 10).alias("m"))
-    return q.join(bridge.docs(spark, d).select("docid", (F.col("doc_id") % 97).alias("m")), "m").select("qid", "docid")
+    """Twenty documents a query."""
+    q = bridge.queries(spark, d).select("qid", "item_id")
+    return q.join(bridge.docs(spark, d).select("docid", F.expr("doc_id div 20").alias("item_id")), "item_id").select("qid", "docid")
 
 
 def _measured(spark, d, **params):
@@ -121,7 +122,7 @@ def metrics_mean(spark, d):
 
 _TESTED = ("mrr", "map_20", "ndcg_20")
 _RUN2 = "run2 as (select qid, docid, row_number() over (partition by qid order by s desc, docid) as rank from (select qid, docid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 2.16 * (1 - 0.61 + 0.61 * len / avgdl))), 6) as s from qterms join tf using (term) join df using (term) join dl using (docid), stats group by 1, 2) qualify rank <= 200), "
-_BOTH = _PER_QUERY + ", " + _RUN2 + _PER_QUERY.replace("from run ", "from run2 ").replace("truth as (select q.qid, d.docid from queries q join docs d on q.item_id % 10 = d.doc_id % 97), nt as (select qid, count(*) as n from truth group by 1), ", "").replace("p as (select qid, docid, rank from run2 union", "p2 as (select qid, docid, rank from run2 union").replace("from p left", "from p2 left").replace("select p.*", "select p2.*").replace("partition by p.qid, p.docid", "partition by p2.qid, p2.docid").replace("j as (", "j2 as (").replace("from j)", "from j2)").replace("h as (", "h2 as (").replace("from h group", "from h2 group").replace(" a as (", " a2 as (").replace("join a using", "join a2 using").replace(", i as (select qid, n, list_sum(list_transform(range(1, n + 1), lambda x: 1.0::double / log2(x + 1))) as ideal from nt)", "").replace(" m as (", " m2 as (")
+_BOTH = _PER_QUERY + ", " + _RUN2 + _PER_QUERY.replace("from run ", "from run2 ").replace("truth as (select q.qid, d.docid from queries q join docs d on q.item_id = d.doc_id // 20), nt as (select qid, count(*) as n from truth group by 1), ", "").replace("p as (select qid, docid, rank from run2 union", "p2 as (select qid, docid, rank from run2 union").replace("from p left", "from p2 left").replace("select p.*", "select p2.*").replace("partition by p.qid, p.docid", "partition by p2.qid, p2.docid").replace("j as (", "j2 as (").replace("from j)", "from j2)").replace("h as (", "h2 as (").replace("from h group", "from h2 group").replace(" a as (", " a2 as (").replace("join a using", "join a2 using").replace(", i as (select qid, n, list_sum(list_transform(range(1, n + 1), lambda x: 1.0::double / log2(x + 1))) as ideal from nt)", "").replace(" m as (", " m2 as (")
 _DIFF = ", dd as (" + " union all ".join(f"select '{n}' as metric, m.{n} - m2.{n} as d from m join m2 using (qid)" for n in _TESTED) + ")"
 
 
