@@ -51,14 +51,17 @@ def query_postings(docs: DataFrame, terms: DataFrame, cut: Tokenizer = tokenize)
 
 def top_k(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 0.82, b: float = 0.68, cut: Tokenizer = tokenize) -> DataFrame:
     """(qid, docid, rank, score): the k best documents(docid, contents) for each of queries(qid, query)."""
-    terms = queries.select("qid", F.explode(cut("query")).alias("term")).distinct()
+    terms = checkpointed(queries.select("qid", F.explode(cut("query")).alias("term")).distinct())
     held = query_postings(docs, terms, cut)
     found = held.where("term <> ''")
     stats = held.where("term = ''").agg(F.sum("tf").alias("n"), (F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0)).cast("double") / F.sum("tf")).alias("avgdl"))
     per_term = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = terms.join(per_term, "term").join(found, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    sums = scored.groupBy("qid", "docid").agg(F.round(F.sum(part), 6).alias("score"))
+    weights = terms.join(per_term, "term").join(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "avgdl")
+    if terms.count() <= BROADCAST_TERMS:
+        # postings dealt by document meet their weights there and are summed there: no hot term, no shuffle of the sums' parts
+        weights, found = F.broadcast(weights), found.repartition("docid")
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    sums = found.join(weights, "term").groupBy("qid", "docid").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "docid", "rank", "score")
