@@ -84,3 +84,26 @@ def url_title(url: Column, title: Column) -> tuple[Column, Column]:
 
 def strip_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, "<[^<]+?>", " "))
+
+
+def strict_id(v: Column) -> Column:
+    """A VARIANT id as a string: missing and null are empty, lists and objects are an error."""
+    kind = F.schema_of_variant(v)
+    nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+    return F.when(v.isNull() | F.is_variant_null(v), "").when(nested, F.raise_error(F.concat(F.lit("an id must be a scalar, not "), kind))).otherwise(F.variant_get(v, "$", "string"))
+
+
+def lowered_title(c: Column | str) -> Column:
+    """Lower case, with blanks around punctuation marks, as a subword round trip leaves a title."""
+    return squeeze(F.regexp_replace(F.lower(_col(c)), r"([\p{P}\p{S}])", " $1 "))
+
+
+def project_json(line: Column, names: dict[str, str]) -> tuple[Column, list[Column]]:
+    """(whether a line of JSON is an object with all fields, its fields as strings under new names); names: old to new.
+    A field that is there and null counts as there."""
+    v = F.try_parse_json(line)
+    got = [F.variant_get(v, f"$.{old}", "variant") for old in names]
+    there = F.lit(True)
+    for g in got:
+        there = there & g.isNotNull()
+    return there, [F.variant_get(v, f"$.{old}", "string").alias(new) for old, new in names.items()]

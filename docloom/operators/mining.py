@@ -6,6 +6,8 @@ depend on the order of rows; the numbers a band, the order of filters and the al
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +117,32 @@ def url_pairs(results: DataFrame, quotas: list[tuple[int, int, int]], seed: str)
     chosen = F.when(F.array_contains("positives", F.col("source_url")), F.col("source_url")).otherwise(F.get("positives", F.lit(0)))
     best = results.where(ok).groupBy("qid", "url").agg(F.min("rank").alias("rank"), F.first(chosen).alias("chosen"))
     return stratified(best.select("qid", F.col("url").alias("docid"), "rank", "chosen"), quotas, seed).select("qid", "chosen", F.col("docid").alias("rejected"), "rank")
+
+
+def parse_ranges(value: str) -> list[tuple[int, int]]:
+    """(first, last) ranks of text like 1:50,51:100; ranks count from 1."""
+    out = []
+    for part in value.split(","):
+        if not (m := re.fullmatch(r"\s*(\d+)\s*:\s*(\d+)\s*", part)) or not 1 <= int(m[1]) <= int(m[2]):
+            raise ValueError(f"no rank range: {part!r}")
+        out.append((int(m[1]), int(m[2])))
+    return out
+
+
+def parse_quotas(value: str) -> list[int]:
+    """Numbers, 0 or more, of text like 4,2,2."""
+    found = [p.strip() for p in value.split(",") if p.strip()]
+    if not found or not all(re.fullmatch(r"\d+", p) for p in found):
+        raise ValueError(f"no quotas: {value!r}")
+    return [int(p) for p in found]
+
+
+def bands(ranges: str, quotas: str) -> list[tuple[int, int, int]]:
+    """(first, last, quota) for stratified(); as many quotas as ranges, and no rank in two ranges."""
+    spans, numbers = parse_ranges(ranges), parse_quotas(quotas)
+    if len(spans) != len(numbers):
+        raise ValueError(f"{len(spans)} rank ranges, {len(numbers)} quotas")
+    ordered = sorted(spans)
+    if any(a[1] >= b[0] for a, b in zip(ordered, ordered[1:])):
+        raise ValueError(f"rank ranges overlap: {ranges}")
+    return [(*s, n) for s, n in zip(spans, numbers)]

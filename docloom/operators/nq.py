@@ -54,3 +54,43 @@ def flatten_train(raw: DataFrame) -> DataFrame:
         "document_url",
     )
     return rows.withColumn("doc_tac", F.concat("title", "abstract", "content")).withColumn("language", F.lit("en"))
+
+
+def _plain(c: Column) -> Column:
+    """Without tags, line breaks and outer white space."""
+    return F.regexp_replace(F.replace(F.regexp_replace(c, "<[^<]+?>", ""), F.lit("\n"), F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def _before_last(c: Column, tag: str) -> Column:
+    return F.when(F.contains(c, F.lit(tag)), F.regexp_extract(c, f"(?s)^(.*){tag}", 1)).otherwise(c)
+
+
+def flatten_dev(raw: DataFrame) -> DataFrame:
+    """Ten flat text columns of nested records with document_tokens and document_title.
+
+    Answers are those of the first annotation, or of the next one that has them; without short answers, yes or no. The
+    abstract is the first <P>; the content follows it, up to the last </Ul> but one, or the last if there is one only. A
+    text without <P> is content from its start."""
+    base = raw.withColumn("_text", F.array_join(F.col("document_tokens.token"), " "))
+    base = base.withColumn("_words", F.split("_text", " "))
+    span = lambda s: F.array_join(F.slice("_words", s["start_token"] + 1, F.greatest(s["end_token"] - s["start_token"], F.lit(0))), " ")
+    first = F.get("annotations", F.lit(0))
+    longs = F.filter("annotations", lambda a: a["long_answer"]["start_token"] >= 0)
+    shorts = F.filter("annotations", lambda a: F.size(a["short_answers"]) > 0)
+    told = F.array_join(F.transform(F.get(shorts, F.lit(0))["short_answers"], span), "|")
+    short = F.when(F.size(first["short_answers"]) > 0, _plain(told)).when(first["yes_no_answer"] != "NONE", F.lower(first["yes_no_answer"])).otherwise("")
+    opened, closed = F.locate("<P>", "_text"), F.locate("</P>", "_text")
+    abstract = F.when(opened > 0, F.substring("_text", opened + 3, F.greatest(closed - opened - 3, F.lit(0)))).otherwise("")
+    body = _before_last(_before_last(F.col("_text"), "</Ul>"), "</Ul>")
+    after = F.when(opened > 0, F.substring(body, closed + 4, F.length("_text"))).otherwise(body)
+    rows = base.select(
+        F.col("question_text").alias("query"),
+        F.col("example_id").cast("string").alias("id"),
+        F.when(first["long_answer"]["start_token"] >= 0, _plain(span(F.get(longs, F.lit(0))["long_answer"]))).otherwise("").alias("long_answer"),
+        short.alias("short_answer"),
+        F.coalesce("document_title", F.lit("")).alias("title"),
+        abstract.alias("abstract"),
+        F.regexp_replace(_plain(after), " +", " ").alias("content"),
+        F.coalesce("document_url", F.lit("")).alias("document_url"),
+    )
+    return rows.withColumn("doc_tac", F.concat("title", "abstract", "content")).withColumn("language", F.lit("en"))

@@ -42,3 +42,11 @@ def unsorted(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     ends = sliced.groupBy((F.col("_slice") + 1).alias("_slice")).agg(F.max_by(key, F.col(order)).alias("_end"))
     joined = inside.join(ends, "_slice", "left").withColumn("_before", F.coalesce("_before", "_end"))
     return joined.where(F.col("_before") > key).drop("_slice", "_before", "_end")
+
+
+def pair_ids(pairs: DataFrame, role: str) -> DataFrame:
+    """pairs with the text id of a role (chosen or rejected) as `<role>_text_id`: that column, or the older `<role>`; a pair
+    without either is an error."""
+    have = [F.col(c) for c in (f"{role}_text_id", role) if c in pairs.columns]
+    named = pairs.withColumn(f"{role}_text_id", F.coalesce(*have, F.lit("")))
+    return require(named, F.col(f"{role}_text_id") != "", f"a pair has no {role}_text_id")

@@ -146,3 +146,14 @@ def unmapped_queries(spark, d):
 def resume_anti_join(spark, d):
     all_docs = bridge.docs(spark, d).select("docid", "doc_id")
     return all_docs.select("docid").join(all_docs.where("doc_id % 4 = 0").select("docid"), "docid", "left_anti")
+
+
+@query("select 'd' || doc_id as id, source as contents from documents where doc_id % 7 <> 0 and doc_id % 5 <> 0")
+def json_project_skip_bad(spark, d):
+    """Lines of JSON, of which some are cut off and some lack their content."""
+    n = F.col("doc_id")
+    whole = F.to_json(F.struct(F.concat(F.lit("d"), n).alias("id"), F.when(n % 5 != 0, F.col("source")).alias("content")))
+    cut = F.when(n % 7 == 0, F.expr("left(x, length(x) - 1)")).otherwise(F.col("x"))
+    made = bridge.table(spark, d, "documents").withColumn("x", whole).select(cut.alias("line"))
+    there, fields = text.project_json(F.col("line"), {"id": "id", "content": "contents"})
+    return made.where(there).select(*fields)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.text import normalize_docid
+from docloom.functions.text import normalize_docid, project_json
 from docloom.operators.numbering import last_wins
 from docloom.operators.validate import require
 
@@ -185,3 +185,16 @@ def excluded_ids(spark: SparkSession, path: str) -> DataFrame:
     none = F.array().cast("array<string>")
     ids = F.when(F.schema_of_variant("v").startswith("ARRAY"), plain).otherwise(F.concat(F.coalesce(parts["excluded_text_ids"], none), F.coalesce(parts["model_mining_excluded_text_ids"], none)))
     return whole.select(F.explode(ids).alias("id")).distinct()
+
+
+def json_projected(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """Fields of JSON lines under new names, as strings; lines that are no JSON or lack a field are skipped."""
+    there, fields = project_json(F.col("line"), names)
+    return lines(spark, path).where(there).select(*fields)
+
+
+def embedding_docs(spark: SparkSession, path: str, nq: bool = False) -> DataFrame:
+    """(docid, text) to embed: JSON lines with docid, in lower case, and body, or flattened records with their doc_tac."""
+    if nq:
+        return nq_tsv(spark, path).select(F.col("id").alias("docid"), F.col("doc_tac").alias("text"))
+    return json_records(spark, path, "docid string, body string").select(F.lower("docid").alias("docid"), F.col("body").alias("text"))

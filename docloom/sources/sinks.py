@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,3 +55,35 @@ def split_by(df: DataFrame, ok) -> tuple[DataFrame, DataFrame]:
     """(rows for which ok holds, the others), nulls among the others."""
     sure = F.coalesce(ok, F.lit(False))
     return df.where(sure), df.where(~sure)
+
+
+def listed(df: DataFrame, path: str, gzip: bool = False) -> None:
+    """(id, array) rows as id, tab, values joined by commas: tables of codes and of embeddings."""
+    name, values = df.columns
+    tsv(df.select(name, F.array_join(F.col(values).cast("array<string>"), ",").alias(values)), path, gzip)
+
+
+def csv(df: DataFrame, path: str) -> None:
+    """A small table, such as metrics or p-values, as one CSV file with a header."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def published(spark: SparkSession, path: str, write: Callable[[str], object]) -> None:
+    """Runs write(folder beside path) and then puts that folder at path. What stood there is kept until the new result is
+    whole, and stays if writing fails."""
+    jvm = spark.sparkContext._jvm
+    at, mark = jvm.org.apache.hadoop.fs.Path(path), uuid.uuid4().hex
+    fresh, old = (jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{kind}-{mark}") for kind in ("new", "old"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(fresh.toString())
+        had = fs.exists(at)
+        if had and not fs.rename(at, old):
+            raise OSError(f"cannot move {path} away")
+        if not fs.rename(fresh, at):
+            if had:
+                fs.rename(old, at)
+            raise OSError(f"cannot move the new result to {path}")
+        fs.delete(old, True)
+    finally:
+        fs.delete(fresh, True)

@@ -15,10 +15,10 @@ def one(spark, column, value, kind="string"):
 
 
 def test_url_titles(spark):
-    rows = [("http://www.example.com/products/item123", "T"), ("https://blog.example.com//blog//how-to-code", ""), (None, " My Title "), ("http://a.com/index", ""), ("", ""), ("http://example.com", ""), ("http://a.com/7/12", "Name")]
+    rows = [("http://shop.test/garden/spade9", "T"), ("https://notes.test//diary//rain-in-may", ""), (None, " My Title "), ("http://a.com/index", ""), ("", ""), ("http://example.com", ""), ("http://a.com/7/12", "Name")]
     made, source = text.url_title(F.col("u"), F.col("t"))
     got = [tuple(r) for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, u string, t string").orderBy("i").select(made, source).collect()]
-    assert got == [("item123 products www.example.com", "url"), ("how to code blog blog.example.com", "url"), ("my title", "title"), (None, "skipped"), (None, "skipped"), ("example.com", "url"), ("name a.com", "title_domain")]
+    assert got == [("spade9 garden shop.test", "url"), ("rain in may diary notes.test", "url"), ("my title", "title"), (None, "skipped"), (None, "skipped"), ("example.com", "url"), ("name a.com", "title_domain")]
 
 
 def test_text(spark):
@@ -31,12 +31,8 @@ def test_text(spark):
 def brute_metrics(truth, pred):
     hit = [d in truth for d in pred]
     out = {"mrr": next((1 / (i + 1) for i, h in enumerate(hit) if h), 0.0), "mrr_10": next((1 / (i + 1) for i, h in enumerate(hit[:10]) if h), 0.0)}
-    n, score = 0, 0.0
-    for i, d in enumerate(pred[:20]):
-        if d in truth and d not in pred[:i]:
-            n += 1
-            score += n / (i + 1)
-    out["map_20"] = score / max(1, len(truth))
+    firsts = sorted(pred.index(d) + 1 for d in truth & set(pred))
+    out["map_20"] = sum(n / place for n, place in enumerate(firsts, 1) if place <= 20) / max(1, len(truth))
     for k in metrics.NDCG_AT:
         out[f"ndcg_{k}"] = sum(1 / math.log2(i + 2) for i, h in enumerate(hit[:k]) if h) / max(0.3, sum(1 / math.log2(i + 2) for i in range(len(truth))))
     for k in metrics.P_AT:
@@ -175,3 +171,54 @@ def test_positive_map(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "b", "z"), (5, "a", "x")], "pos long, query string, text_id string")
     got = {r.text_id: r.positives for r in positives.positive_map(rows).collect()}
     assert got == {"x": ["x", "y"], "y": ["y", "z"], "z": ["y", "z"]}
+
+
+def test_bands():
+    assert mining.bands("1:50, 51:100", "2,0") == [(1, 50, 2), (51, 100, 0)]
+    for ranges, quotas in (("1:50", "1,2"), ("1:50,50:60", "1,1"), ("0:5", "1"), ("5:4", "1"), ("5", "1"), ("", "1"), ("1:5", ""), ("1:5", "-1")):
+        with pytest.raises(ValueError):
+            mining.bands(ranges, quotas)
+
+
+def test_strict_ids(spark):
+    df = spark.createDataFrame([(1, "7"), (2, '"a"'), (3, "null"), (4, None), (5, "[1]")], "i int, j string").withColumn("v", F.parse_json("j"))
+    assert [r.y for r in df.where("i < 5").orderBy("i").select(text.strict_id(F.col("v")).alias("y")).collect()] == ["7", "a", "", ""]
+    with pytest.raises(Exception, match="scalar"):
+        df.select(text.strict_id(F.col("v"))).collect()
+    assert one(spark, text.lowered_title("x"), "What's New (2020)?") == "what ' s new ( 2020 ) ?"
+    pairs = spark.createDataFrame([("a", None), ("b", "c")], "chosen string, chosen_text_id string")
+    assert sorted(r.chosen_text_id for r in validate.pair_ids(pairs, "chosen").collect()) == ["a", "c"]
+    with pytest.raises(Exception, match="no rejected_text_id"):
+        validate.pair_ids(pairs, "rejected").collect()
+
+
+def test_nested_dev(spark):
+    from docloom.operators import nq
+
+    words = "<H1> T </H1> <P> first words </P> then <B> bold </B> <Ul> one </Ul> mid <Ul> two </Ul> end".split(" ")
+    note = lambda start, end, shorts, yes="NONE": ((start, end), shorts, yes)
+    schema = f"question_text string, example_id long, document_tokens array<struct<token:string>>, document_title string, document_url string, annotations {nq.ANNOTATIONS}"
+    tokens = [(w,) for w in words]
+    raw = spark.createDataFrame([("q", 1, tokens, "T", None, [note(3, 7, [(4, 5), (5, 6)])]), ("r", 2, [("no",), ("tags",)], "U", "u", [note(-1, -1, [], "YES")])], schema)
+    a, b = nq.flatten_dev(raw).orderBy("id").collect()
+    assert (a.long_answer, a.short_answer, a.abstract, a.content) == ("first words", "first|words", " first words ", "then bold one")
+    assert (a.doc_tac, a.document_url) == ("T first words then bold one", "")
+    assert (b.long_answer, b.short_answer, b.abstract, b.content, b.doc_tac) == ("", "yes", "", "no tags", "Uno tags")
+
+
+def test_search_in_one_pass(spark):
+    """Scores from the definition; null and empty texts count as documents."""
+    from docloom.operators import bm25
+
+    docs = {"a": "red red fox", "b": "fox Den", "c": "", "d": None, "e": "blue"}
+    asked = {"x": "red fox", "y": "green"}
+    cut = {k: (v or "").lower().split() for k, v in docs.items()}
+    mean = sum(map(len, cut.values())) / len(cut)
+    want = {}
+    for q, t in asked.items():
+        for k, words in cut.items():
+            parts = [(sum(w in v for v in cut.values()), words.count(w)) for w in set(t.split()) if w in words]
+            if parts:
+                want[q, k] = round(sum(math.log(1 + (5 - df + 0.5) / (df + 0.5)) * tf / (tf + 0.82 * (1 - 0.68 + 0.68 * len(words) / mean)) for df, tf in parts), 6)
+    got = bm25.top_k(spark.createDataFrame(list(asked.items()), "qid string, query string"), spark.createDataFrame(list(docs.items()), "docid string, contents string"))
+    assert {(r.qid, r.docid): r.score for r in got.collect()} == pytest.approx(want)

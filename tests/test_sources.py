@@ -98,3 +98,38 @@ def test_sinks(spark, tmp_path):
     assert sinks.resume(df, str(tmp_path / "res"), "qid") == 2 and sinks.resume(df, str(tmp_path / "res"), "qid") == 0
     ok, bad = sinks.split_by(df, F.col("pos") != "x")
     assert (ok.count(), bad.count()) == (1, 1)
+
+
+def test_projection_skips_bad_lines(spark, tmp_path):
+    p = put(tmp_path / "l.jsonl", '{"id": 1, "content": "a", "more": 2}\n{"id": 2}\nno json\n[1]\n{"id": "x", "content": null}\n{"id": 3, "content": "c"\n')
+    assert readers.json_projected(spark, p, {"id": "id", "content": "contents"}).columns == ["id", "contents"]
+    assert {tuple(r) for r in readers.json_projected(spark, p, {"id": "id", "content": "contents"}).collect()} == {("1", "a"), ("x", None)}
+
+
+def test_embedding_docs(spark, tmp_path):
+    assert rows(readers.embedding_docs(spark, put(tmp_path / "d.jsonl", '{"docid": "D1", "body": "Text"}\n'))) == [("d1", "Text")]
+    p = put(tmp_path / "nq.tsv", "q\t7\tl\ts\tt\ta\tc\tu\ttac\ten\nq\t8\tl\ts\tt\ta\tc\tu\t\ten\n")
+    assert rows(readers.embedding_docs(spark, p, nq=True)) == [("7", "tac"), ("8", "")]
+
+
+def test_listed_and_csv(spark, tmp_path):
+    sinks.listed(spark.createDataFrame([("[d1]", [3, 4])], "docid string, code array<int>"), str(tmp_path / "c"))
+    assert rows(readers.docid_codes(spark, str(tmp_path / "c" / "part-*"))) == [("[d1]", [3, 4])]
+    sinks.csv(spark.createDataFrame([("mrr", 0.25)], "metric string, p double"), str(tmp_path / "p"))
+    assert rows(readers.csv_table(spark, str(tmp_path / "p" / "part-*"))) == [("mrr", "0.25")]
+
+
+def test_published(spark, tmp_path):
+    at = str(tmp_path / "out")
+    for n in (1, 2):
+        sinks.published(spark, at, lambda p, n=n: sinks.jsonl(spark.range(n), p))
+        assert spark.read.json(at).count() == n
+
+    def fails(p):
+        sinks.jsonl(spark.range(5), p)
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        sinks.published(spark, at, fails)
+    assert spark.read.json(at).count() == 2
+    assert [f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")] == ["out"]
