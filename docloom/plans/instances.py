@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import corpus, instances
+from docloom.operators import corpus, hooks, instances
 from docloom.plans import bridge
 from docloom.plans.projections import _VOCAB, vocabulary
 from docloom.plans.registry import query
@@ -92,3 +92,17 @@ def pretrain_union(spark, d):
     passages = instances.passages(docs).select("docid", F.lit("passage").alias("kind"), F.size("tokens").alias("n"))
     terms = instances.sampled_terms(docs, corpus.term_idf(docs, vocabulary(spark, d))).select("docid", F.lit("terms").alias("kind"), F.size("tokens").alias("n"))
     return passages.unionByName(terms).unionByName(bridge.codes(spark, d).select("docid", F.lit("docid").alias("kind"), F.size("code").alias("n")))
+
+
+@query(r"select docid, (row_number() over (partition by docid order by sha256('5|' || docid || '|' || n), n))::int - 1 as sample, sentence as query from (select docid, unnest(range(0, len(s))) as n, unnest(s) as sentence from (select docid, list_filter(list_transform(regexp_extract_all(body, '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') as s from docs)) qualify sample < 10", ("docs",))
+def pseudo_queries(spark, d):
+    return hooks.pseudo_queries(bridge.docs(spark, d).select("docid", F.col("body").alias("contents")))
+
+
+@query(r"select docid, array_to_string(list_concat(list_transform(list_slice(coalesce(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), []), 1, 15), lambda t: ('0x' || substr(md5(t), 1, 4))::int), [1]), ',') as prompt_ids, least(16, len(coalesce(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), [])) + 1)::int as n_mask, array_to_string(code, ',') as chosen, array_to_string(list_reverse(code), ',') as rejected from docs join codes using (docid)", ("docs", "codes"))
+def preference_tokens(spark, d):
+    cut = lambda c: F.transform(text.tokenize(c), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"))
+    pairs = bridge.docs(spark, d).select("docid", F.col("title").alias("prompt")).join(bridge.codes(spark, d).select("docid", F.col("code").alias("chosen"), F.reverse("code").alias("rejected")), "docid")
+    got = hooks.preference_tokens(pairs, cut, 16)
+    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return got.select("docid", flat("prompt_input_ids").alias("prompt_ids"), F.size("prompt_attention_mask").alias("n_mask"), flat("chosen_labels").alias("chosen"), flat("rejected_labels").alias("rejected"))

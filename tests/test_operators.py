@@ -222,3 +222,20 @@ def test_search_in_one_pass(spark):
                 want[q, k] = round(sum(math.log(1 + (5 - df + 0.5) / (df + 0.5)) * tf / (tf + 0.82 * (1 - 0.68 + 0.68 * len(words) / mean)) for df, tf in parts), 6)
     got = bm25.top_k(spark.createDataFrame(list(asked.items()), "qid string, query string"), spark.createDataFrame(list(docs.items()), "docid string, contents string"))
     assert {(r.qid, r.docid): r.score for r in got.collect()} == pytest.approx(want)
+
+
+def test_hooks(spark):
+    from docloom.operators import hooks
+
+    docs = spark.createDataFrame([("a", "Red fox. Blue den! More?"), ("b", ""), ("c", None)], "docid string, contents string")
+    v = {r.docid: r.embedding for r in hooks.embedded(docs).collect()}
+    assert math.hypot(*v["a"]) == pytest.approx(1) and sum(x > 0 for x in v["a"]) == 5 and not any(v["b"]) and not any(v["c"])
+    own = hooks.embedded(docs, lambda texts: [[float(len(t))] for t in texts]).collect()
+    assert {r.docid: r.embedding for r in own} == {"a": [24.0], "b": [0.0], "c": [0.0]}
+    two = hooks.pseudo_queries(docs, 2).collect()
+    assert [r.sample for r in two] == [0, 1] and len({r.query for r in two}) == 2 and {r.query for r in two} <= {"Red fox.", "Blue den!", "More?"}
+    assert hooks.pseudo_queries(docs).count() == 3 and hooks.pseudo_queries(docs, done=docs.select("docid")).count() == 0
+    pairs = spark.createDataFrame([(1, "one two three", [7, 8], [9]), (2, None, [7], [8])], "n int, prompt string, chosen array<int>, rejected array<int>")
+    one, none = hooks.preference_tokens(pairs, lambda c: F.transform(text.tokenize(c), F.length), 3).orderBy("n").collect()
+    assert (one.prompt_input_ids, one.prompt_attention_mask, one.chosen_labels, one.rejected_labels) == ([3, 3, 1], [1, 1, 1], [7, 8], [9])
+    assert none.prompt_input_ids == [1]

@@ -9,7 +9,7 @@ from docloom.plans import pipelines
 from docloom.streaming.incremental import append_new
 
 
-def test_mining_and_evaluation(spark):
+def test_mining_and_evaluation(spark, tmp_path):
     docs = spark.createDataFrame([(f"d{i}", " ".join(f"w{(i * 7 + j) % 40}" for j in range(12))) for i in range(40)], "docid string, contents string")
     queries = spark.createDataFrame([("q1", "w1 w2 w3 w4"), ("q2", "w10 w20")], "qid string, query string")
     truth = spark.createDataFrame([("q1", "d1"), ("q1", "d2"), ("q2", "d5")], "qid string, docid string")
@@ -24,6 +24,12 @@ def test_mining_and_evaluation(spark):
     model = bm.limit(0).withColumnRenamed("bm25_rank", "model_rank")
     hybrid, groups = pipelines.mine_hybrid(bm, model, per_model=1, total=3)
     assert hybrid.count() == 6 and {r.outcome for r in groups.collect()} == {"fallback"}
+    at = str(tmp_path / "hybrid")
+    with pytest.raises(FileNotFoundError, match="bm25_pairs.*bm25_stats"):
+        pipelines.mine_hybrid_in(spark, at, lambda: (pairs, stats), model, reuse=True, per_model=1, total=3)
+    first, _ = pipelines.mine_hybrid_in(spark, at, lambda: (pairs, stats), model, per_model=1, total=3)
+    again, _ = pipelines.mine_hybrid_in(spark, at, lambda: pytest.fail("mined again"), model, reuse=True, per_model=1, total=3)
+    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect())) == sorted(map(str, hybrid.collect()))
     urls = docs.select(F.col("docid").alias("text_id"), F.concat(F.lit("http://"), "docid").alias("url"))
     assert pipelines.mine_url(bm, urls).count() == 8
     with pytest.raises(Exception, match="no single URL"):
