@@ -80,9 +80,28 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", tokens.alias("n_tokens"), *(p[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), r.alias("rate"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.simhash import simhash_components
+
+    got = simhash_components(_table(spark, sf_dir, "documents"))
+    return got.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.repair import damaged, repair
+
+    return repair(damaged(_table(spark, sf_dir, "conversations")), gone="gone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_decontamination, op2_order_minhash, op3_quality_rules, op4_substring_doubling, op5_chat_formatting)
-    return {f.__name__: f for f in (*ops, op6_warc_revisits, op7_mixing, op8_suffix_bwt, op9_token_files, op10_language_id)}
+    return {f.__name__: f for f in (*ops, op6_warc_revisits, op7_mixing, op8_suffix_bwt, op9_token_files, op10_language_id, op11_importance_resampling, op12_simhash, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,4 +110,4 @@ def oracle_sql() -> dict[str, str]:
 
     bits = " | ".join(f"(case when {rule} then {1 << i}::bigint else 0::bigint end)" for i, rule in enumerate(RULES.values()))
     op3 = sql.OP3_SQL.replace("{bits}", bits).replace("{base}", str(mask("base"))).replace("{all}", str(mask("base") | mask(PRODUCTION)))
-    return {"op3_quality_rules": op3, "op4_substring_doubling": sql.OP4_SQL, "op5_chat_formatting": sql.OP5_SQL, "op6_warc_revisits": sql.OP6_SQL, "op8_suffix_bwt": sql.OP8_SQL}
+    return {"op3_quality_rules": op3, "op4_substring_doubling": sql.OP4_SQL, "op5_chat_formatting": sql.OP5_SQL, "op6_warc_revisits": sql.OP6_SQL, "op8_suffix_bwt": sql.OP8_SQL, "op11_importance_resampling": sql.OP11_SQL, "op13_structure_repair": sql.OP13_SQL}

@@ -93,3 +93,98 @@ select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_remove
   sha256(unhex(coalesce(kept, ''))) as kept_sha256
 from d left join t using (r)
 """
+
+#: CRC-32 of UTF-8 strings (x: hex digits of their bytes), by the table of its bytes.
+_CRC = r"""
+steps as (
+  select b, list_reduce([b] || list_transform(range(0, 8), lambda i: 0::bigint), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) as c
+  from (select unnest(range(0, 256))::bigint as b)
+), crc_table as (select list(c order by b) as crc from steps)
+"""
+_CRC_OF = r"xor(list_reduce([4294967295::bigint] || list_transform(range(1, len({x}) // 2 + 1), lambda i: ('0x' || substr({x}, 2 * i - 1, 2))::bigint), lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1])), 4294967295::bigint)"
+
+OP11_SQL = (
+    "with "
+    + _CRC
+    + r"""
+, texts as (
+  select 0 as part, row_number() over () as r, doc_id, text from documents union all select 1, row_number() over (), null, text from benchmark
+), w as (
+  select part, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')) as word from texts
+), b as (
+  select word, {crc} % 10000 as bucket from (select distinct word, hex(encode(word)) as x from w), crc_table
+), f as (select part, r, bucket from w join b using (word)),
+n as (select bucket, count(*) filter (part = 0) as s, count(*) filter (part = 1) as t from f group by bucket),
+a as (select coalesce(sum(s), 0)::double as s_all, coalesce(sum(t), 0)::double as t_all from n),
+g as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000))))::bigint as gain from n, a),
+v as (select r, count(*) as n, sum(gain)::bigint as weight from f join g using (bucket) where part = 0 group by r),
+d as (
+  select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint::double as h
+  from texts left join v using (r) where part = 0
+), e as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from d),
+z as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) as place, count(*) filter (n_features >= 20) over () as n from e
+)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from z
+""".replace("{crc}", _CRC_OF.replace("{x}", "x"))
+)
+
+#: States of the grammar: 0 nothing, 1 system, 2 user, 3 assistant said last. From the end, each state has the least pair of
+#: costs and edits; f holds costs and edits without an insertion first, which may come once or twice.
+_REPAIR_STEP = ", ".join(
+    f"least({{{{'c': 4 + s{i}.c, 'e': 'D' || s{i}.e}}}}, {{{{'c': case when forced then 1000000000 else 3 + more + s{n}.c end, 'e': 'R' || s{n}.e}}}}, {{{{'c': case when forced then 1000000000 {keeps} else 1000000000 end, 'e': 'K' || case {ends} else '' end}}}}) as f{i}"
+    for i, n, keeps, ends in (
+        (0, 2, "when q = 's' then more + s1.c when q = 'u' then more + s2.c", "q when 's' then s1.e when 'u' then s2.e"),
+        (1, 2, "when q = 'u' then more + s2.c", "q when 'u' then s2.e"),
+        (2, 3, "when q = 'a' then more + s3.c", "q when 'a' then s3.e"),
+        (3, 2, "when q = 'u' then more + s2.c", "q when 'u' then s2.e"),
+    )
+).replace("{{", "{").replace("}}", "}")
+_REPAIR_INSERT = ", ".join(
+    f"least(f{i}, {{'c': 3 + f{n}.c, 'e': 'I' || f{n}.e}}, {{'c': 6 + f{m}.c, 'e': 'II' || f{m}.e}}) as s{i}" for i, n, m in ((0, 2, 3), (1, 2, 3), (2, 3, 2), (3, 2, 3))
+)
+OP13_SQL = (
+    "with recursive "
+    + _CRC
+    + r"""
+, c as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as x from conversations
+), k as (select *, {crc} % 20 as d from c, crc_table),
+m as (
+  select conv_id, turn, case when d = 4 then 'user' else role end as role,
+    case d when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(0, case d when 0 then 0 when 3 then 2 else 1 end)) as copy
+  from k
+), o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i, trim(text, E' \t\n\x0b\x0c\r') as bare from m),
+p as (
+  select *, left(role, 1) as q, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by i) as was
+  from o
+), n as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (i > 1 and was || q not in ('su', 'ua', 'au')) as illegal
+  from p group by conv_id
+), back as (
+  select conv_id, n as i, {'c': 0::bigint, 'e': ''} as s0, {'c': 6::bigint, 'e': 'II'} as s1, {'c': 3::bigint, 'e': 'I'} as s2, {'c': 0::bigint, 'e': ''} as s3 from n
+  union all
+  select conv_id, i, {insert} from (
+    select p.conv_id, p.i - 1 as i, fault in ('blank', 'duplicate') as forced, (case when fault = 'truncated' then 3 else 0 end)::bigint as more, q, {step}
+    from back join p on p.conv_id is not distinct from back.conv_id and p.i = back.i
+  )
+), best as (select conv_id, s0.c as cost, s0.e as audit from back where i = 0),
+edits as (select conv_id, audit, unnest(range(1, len(audit) + 1)) as j from best),
+spots as (
+  select conv_id, j, substr(audit, j, 1) as e, 1 + len(replace(left(audit, j - 1), 'I', '')) as i, len(replace(left(audit, j), 'D', '')) as out from edits
+), sys as (
+  -- whether the first turn kept is the system's
+  select a.conv_id, bool_or(a.e = 'K' and a.out = 1 and p.q = 's') as s from spots a join p on p.conv_id is not distinct from a.conv_id and p.i = a.i group by a.conv_id
+), turns as (
+  select a.conv_id, a.j, case when a.e = 'K' then p.role when (a.out - coalesce(s, false)::int) % 2 = 1 then 'user' else 'assistant' end || ':' || case when a.e = 'I' then '' else p.text end as line
+  from spots a left join p on p.conv_id is not distinct from a.conv_id and p.i = a.i left join sys on sys.conv_id is not distinct from a.conv_id where a.e <> 'D'
+), said as (select conv_id, string_agg(line, chr(10) order by j) as t from turns group by conv_id),
+every as (select distinct conv_id from conversations)
+select every.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from every left join n on n.conv_id is not distinct from every.conv_id left join best on best.conv_id is not distinct from every.conv_id left join said on said.conv_id is not distinct from every.conv_id
+""".replace("{crc}", _CRC_OF.replace("{x}", "x")).replace("{insert}", _REPAIR_INSERT).replace("{step}", _REPAIR_STEP)
+)

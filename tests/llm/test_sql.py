@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_is_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(oracle_sql()[name])
     got = queries()[name](spark, SF)
