@@ -7,6 +7,9 @@ the ideal gain sums over all truths, 0.3 at least. Queries without predictions s
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +73,6 @@ def wilcoxon(differences: DataFrame) -> DataFrame:
 
 def t_test_p(t: float, n: int) -> float:
     """Two-sided p of a t statistic with n - 1 degrees of freedom, by the incomplete beta function's continued fraction."""
-    import math
-
     v = n - 1
     x, a, b = v / (v + t * t), v / 2.0, 0.5
 
@@ -94,11 +95,53 @@ def t_test_p(t: float, n: int) -> float:
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
 
 
-def wilcoxon_p(w: float, n: int, ties: tuple[int, ...] = ()) -> float:
-    """Two-sided p of a signed-rank statistic by the normal approximation; ties: sizes of groups of equal ranks."""
-    import math
+#: Pairs up to which the signed-rank distribution is exact.
+EXACT = 50
+
+
+def signed_rank_p(w: float, ranks: list[float]) -> float:
+    """Two-sided p of a signed-rank statistic, the lesser rank sum, from the distribution of sums over all signs of these
+    ranks: counts of subsets by sum, one rank after the other, in halves, as ties share mean ranks."""
+    doubled = [round(2 * r) for r in ranks]
+    ways = [1]
+    for r in doubled:
+        longer = ways + [0] * r
+        for i, n in enumerate(ways):
+            longer[i + r] += n
+        ways = longer
+    return min(1.0, 2 * sum(ways[: round(2 * w) + 1]) / 2 ** len(doubled))
 
+
+def wilcoxon_p(w: float, n: int, ties: tuple[int, ...] = (), ranks: list[float] | None = None) -> float:
+    """Two-sided p of a signed-rank statistic, the lesser rank sum. Exact for up to EXACT pairs, where ties need their
+    ranks; else by the normal approximation. ties: sizes of groups of equal ranks."""
     if not n:
         return 1.0
+    if n <= EXACT and (ranks is not None or not ties):
+        return signed_rank_p(w, list(range(1, n + 1)) if ranks is None else ranks)
     variance = n * (n + 1) * (2 * n + 1) / 24 - sum(t**3 - t for t in ties) / 48
     return math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(2 * variance))
+
+
+def wilcoxon_test(differences: DataFrame) -> DataFrame:
+    """(metric, n, w_plus, w_minus, w, p): wilcoxon() with its p. Ranks are gathered for metrics of up to EXACT pairs alone;
+    of others, the sizes of groups of ties are counted."""
+    ranked = wilcoxon(differences)
+    sizes = differences.where("d <> 0").groupBy("metric", F.round(F.abs("d"), 9).alias("size")).agg(F.count("*").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy("metric").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("rank", before + (F.col("t") + 1) / 2.0).join(ranked.select("metric", "n"), "metric")
+    few = F.when(F.col("n") <= EXACT, F.struct("rank", "t"))
+    cubes = F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("cubes")
+    groups = sizes.groupBy("metric").agg(F.collect_list(few).alias("ranks"), cubes)
+
+    @F.pandas_udf("double")
+    def p(w: pd.Series, n: pd.Series, cubes: pd.Series, ranks: pd.Series) -> pd.Series:
+        out = []
+        for w_, n_, cubes_, ranks_ in zip(w, n, cubes, ranks):
+            if n_ <= EXACT:
+                out.append(signed_rank_p(w_, [r["rank"] for r in ranks_ for _ in range(r["t"])]))
+            else:
+                out.append(math.erfc(abs(w_ - n_ * (n_ + 1) / 4) / math.sqrt(2 * (n_ * (n_ + 1) * (2 * n_ + 1) / 24 - cubes_ / 48))))
+        return pd.Series(out)
+
+    return ranked.join(groups, "metric").select("metric", "n", "w_plus", "w_minus", "w", p("w", "n", "cubes", "ranks").alias("p"))

@@ -9,14 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that spark.checkpoint.dir names; one of our own only on a single machine, where none is set."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only on a single machine, where none is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="docloom-"))
+        at = tempfile.mkdtemp(prefix="docloom-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

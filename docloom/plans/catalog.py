@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("scans", "projections", "retrieval", "corpus", "docids", "instances", "positives", "mining", "hybrid", "decoding")
+MODULES = ("scans", "projections", "retrieval", "corpus", "docids", "instances", "positives", "mining", "hybrid", "decoding", "indexing")
 
 
 def _load() -> None:

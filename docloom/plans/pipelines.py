@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import bm25, hybrid, instances, metrics, mining, positives
 from docloom.plans.mining import BAND_QUOTAS
-from docloom.sources import sinks
+from docloom.sources import manifest
 
 
 def mine_bm25(queries: DataFrame, docs: DataFrame, truth: DataFrame, targets: DataFrame, k: int = 200, k1: float = 0.82, b: float = 0.68, quotas=BAND_QUOTAS, seed: str = "13", fill: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -32,19 +32,22 @@ def mine_hybrid(bm25_pairs: DataFrame, model_pairs: DataFrame, excluded: DataFra
     return hybrid.combine(bm25_pairs, model_pairs, per_model, total, seed, exact)
 
 
-def mine_hybrid_in(spark: SparkSession, folder: str, mined: Callable[[], tuple[DataFrame, DataFrame]], model_pairs: DataFrame, reuse: bool = False, **options) -> tuple[DataFrame, DataFrame]:
-    """mine_hybrid over the pairs and stats that mined() gives, as mine_bm25 does, kept in folder. reuse: those of an
-    earlier run are read and nothing is mined; without whole ones that is an error."""
-    at = {name: f"{folder}/{name}" for name in ("bm25_pairs", "bm25_stats")}
-    if reuse:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        whole = lambda p: path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(f"{p}/_SUCCESS"))
-        if missing := [p for p in at.values() if not whole(p)]:
-            raise FileNotFoundError(f"nothing to reuse at {', '.join(missing)}")
+def mine_hybrid_in(spark: SparkSession, folder: str, mined: Callable[[], tuple[DataFrame, DataFrame]], model_pairs: DataFrame, reuse: bool = False, mark: str = "", **options) -> tuple[DataFrame, DataFrame]:
+    """mine_hybrid over the pairs and stats that mined() gives, as mine_bm25 does, published as one version in folder.
+    mark: a manifest.fingerprint of what mined() reads and of its parameters. reuse: those of an earlier run are read and
+    nothing is mined; without whole ones, or with ones of another mark, that is an error."""
+
+    def write(version: str) -> None:
+        for name, df in zip(("bm25_pairs", "bm25_stats"), mined(), strict=True):
+            df.write.parquet(f"{version}/{name}")
+
+    if not reuse:
+        version = manifest.publish(spark, folder, mark, write)
+    elif manifest.current(spark, folder) is None:
+        raise FileNotFoundError(f"no bm25_pairs and bm25_stats to reuse at {folder}")
     else:
-        for p, df in zip(at.values(), mined(), strict=True):
-            sinks.published(spark, p, df.write.parquet)
-    pairs = spark.read.parquet(at["bm25_pairs"]).select("query_key", "chosen", "rejected", "target", "bm25_rank")
+        version = manifest.reuse(spark, folder, mark)
+    pairs = spark.read.parquet(f"{version}/bm25_pairs").select("query_key", "chosen", "rejected", "target", "bm25_rank")
     return mine_hybrid(pairs, model_pairs, **options)
 
 

@@ -173,7 +173,39 @@ def test_positive_map(spark):
     assert got == {"x": ["x", "y"], "y": ["y", "z"], "z": ["y", "z"]}
 
 
-def test_bands():
+def test_signed_rank_p_is_the_enumeration(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for n in range(1, 13):
+        d = [rnd.choice([-1, 1]) * (rnd.choice([0.1, 0.2, 0.3, 0.7]) if n % 2 else k + 1.0) for k in range(n)]
+        size = sorted(map(abs, d))
+        ranks = [sum(i + 1 for i, s in enumerate(size) if s == abs(x)) / size.count(abs(x)) for x in d]
+        w = min(sum(r for r, x in zip(ranks, d) if x > 0), sum(r for r, x in zip(ranks, d) if x < 0))
+        sums = [sum(r for r, keep in zip(ranks, signs) if keep) for signs in itertools.product([0, 1], repeat=n)]
+        want[f"m{n}"] = (n, w, min(1.0, 2 * sum(s <= w + 1e-9 for s in sums) / len(sums)))
+        rows += [(f"m{n}", x) for x in [*d, 0.0]]
+    rows += [("many", x) for x in [rnd.gauss(0.2, 1) for _ in range(200)]]
+    got = {r.metric: r for r in metrics.wilcoxon_test(spark.createDataFrame(rows, "metric string, d double")).collect()}
+    for m, (n, w, p) in want.items():
+        assert (got[m].n, got[m].w) == (n, pytest.approx(w)) and got[m].p == pytest.approx(p)
+    assert got["many"].p == pytest.approx(metrics.wilcoxon_p(got["many"].w, 200))
+    # close to the approximation where that is good
+    assert metrics.signed_rank_p(500.0, list(range(1, 51))) == pytest.approx(metrics.wilcoxon_p(500.0, 50, (1,)), abs=0.01)
+
+
+def test_no_test_hides_another():
+    import ast
+    import pathlib
+
+    for path in pathlib.Path(__file__).parent.rglob("test_*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef)]
+        assert len(names) == len(set(names)), path
+
+
+def test_band_flags():
     assert mining.bands("1:50, 51:100", "2,0") == [(1, 50, 2), (51, 100, 0)]
     for ranges, quotas in (("1:50", "1,2"), ("1:50,50:60", "1,1"), ("0:5", "1"), ("5:4", "1"), ("5", "1"), ("", "1"), ("1:5", ""), ("1:5", "-1")):
         with pytest.raises(ValueError):

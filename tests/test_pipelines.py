@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.plans import pipelines
+from docloom.sources import manifest
 from docloom.streaming.incremental import append_new
 
 
@@ -29,6 +30,8 @@ def test_mining_and_evaluation(spark, tmp_path):
         pipelines.mine_hybrid_in(spark, at, lambda: (pairs, stats), model, reuse=True, per_model=1, total=3)
     first, _ = pipelines.mine_hybrid_in(spark, at, lambda: (pairs, stats), model, per_model=1, total=3)
     again, _ = pipelines.mine_hybrid_in(spark, at, lambda: pytest.fail("mined again"), model, reuse=True, per_model=1, total=3)
+    with pytest.raises(manifest.Stale, match="other inputs"):
+        pipelines.mine_hybrid_in(spark, at, lambda: pytest.fail("mined again"), model, reuse=True, mark=manifest.fingerprint({"k": 10}, docs))
     assert sorted(map(str, first.collect())) == sorted(map(str, again.collect())) == sorted(map(str, hybrid.collect()))
     urls = docs.select(F.col("docid").alias("text_id"), F.concat(F.lit("http://"), "docid").alias("url"))
     assert pipelines.mine_url(bm, urls).count() == 8
