@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.numbering import checkpointed
+from docloom.operators.numbering import checkpointed, numbered
 
 
 def text(c: Column) -> Column:
@@ -40,23 +45,122 @@ def appended(first: DataFrame, second: DataFrame, bos: int) -> DataFrame:
     return opened.unionByName(second.where("prefix <> ''").join(first.select("prefix"), "prefix", "left_anti"))
 
 
-def beam_search(queries: DataFrame, trie: DataFrame, score, width: int, longest: int) -> DataFrame:
-    """(qid, rank, sequence, total): the best sequences of each query among those that the trie allows.
-
-    A level at a time: hypotheses are joined with their next tokens, scored by score(qid, prefix, token), and the best
-    `width` a query are kept; the loop is as long as the longest code. Finished sequences compete with open ones."""
-    steps = trie.select("prefix", F.explode("next").alias("token"))
-    live = queries.select("qid").withColumns({"prefix": F.lit(""), "total": F.lit(0.0), "open": F.lit(True)})
-    for _ in range(longest):
-        grown = live.where("open").join(steps, "prefix")
-        longer = F.when(F.col("prefix") == "", F.col("token").cast("string")).otherwise(F.concat_ws(",", "prefix", F.col("token").cast("string")))
-        grown = grown.select("qid", longer.alias("prefix"), F.round(F.col("total") + score(F.col("qid"), F.col("prefix"), F.col("token")), 6).alias("total"))
-        inner = trie.select("prefix").withColumn("_inner", F.lit(True))
-        grown = grown.join(inner, "prefix", "left").select("qid", "prefix", "total", F.coalesce("_inner", F.lit(False)).alias("open"))
-        both = grown.unionByName(live.where("not open").select("qid", "prefix", "total", "open"))
-        place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("total"), "prefix"))
-        live = checkpointed(both.withColumn("_p", place).where(F.col("_p") <= width).drop("_p"))
-    return live.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("total"), "prefix")).alias("rank"), F.col("prefix").alias("sequence"), "total")
+#: Steps of a level up to which they are broadcast; states that many hypotheses share are on levels of few steps.
+BROADCAST_STEPS = 1_000_000
+
+
+def numbered_steps(sequences: DataFrame) -> DataFrame:
+    """(depth, state, token, next, inner): the tree of sequences(tokens array<int>) with numbers for its nodes, 0 the root.
+    inner says whether anything follows the node `next`. Level by level, the distinct steps out of its nodes are numbered
+    in order; no prefix is ever spelled out. Empty sequences add nothing."""
+    left = checkpointed(sequences.select("tokens").distinct().where(F.size("tokens") > 0).withColumn("state", F.lit(0).cast("long")))
+    levels, depth, first = [], 0, 1
+    while not left.isEmpty():
+        token = F.get("tokens", F.lit(depth))
+        ends = F.max(F.size("tokens") > depth + 1).alias("inner")
+        steps = left.groupBy("state", token.alias("token")).agg(ends)
+        steps = checkpointed(numbered(steps, [F.col("state"), F.col("token")], "next", first))
+        n = steps.count()
+        levels.append(steps.select(F.lit(depth).alias("depth"), "state", "token", "next", "inner"))
+        to = steps.where("inner").select("state", F.col("token").alias("_t"), "next")
+        to = F.broadcast(to) if n <= BROADCAST_STEPS else to
+        going = left.where(F.size("tokens") > depth + 1).withColumn("_t", token)
+        left = checkpointed(going.join(to, ["state", "_t"]).select("tokens", F.col("next").alias("state")))
+        depth, first = depth + 1, first + n
+    if not levels:
+        return sequences.sparkSession.createDataFrame([], "depth int, state long, token int, next long, inner boolean")
+    return checkpointed(reduce(DataFrame.unionByName, levels))
+
+
+def following(steps: DataFrame, asked: DataFrame, pad: int = 0) -> DataFrame:
+    """(tokens, next): the sorted tokens that may follow each of asked(tokens array<int>) in the tree of numbered_steps(),
+    the pad token alone where none may. The tree is walked a level at a time by the numbers of its nodes."""
+    left = checkpointed(asked.select("tokens").distinct().withColumn("state", F.lit(0).cast("long")))
+    longest = left.agg(F.max(F.size("tokens"))).first()[0] or 0
+    for depth in range(longest):
+        token = F.get("tokens", F.lit(depth))
+        to = _level(steps, depth).select("state", F.col("token").alias("_t"), "next")
+        more = left.where(F.size("tokens") > depth).withColumn("_t", token).join(to, ["state", "_t"], "left").select("tokens", F.col("next").alias("state"))
+        left = checkpointed(left.where(F.size("tokens") <= depth).unionByName(more))
+    own = steps.groupBy("state").agg(F.array_sort(F.collect_list("token")).alias("next"))
+    return left.join(own, "state", "left").select("tokens", F.coalesce("next", F.array(F.lit(pad))).alias("next"))
+
+
+def _level(steps: DataFrame, depth: int) -> DataFrame:
+    own = steps.where(F.col("depth") == depth).drop("depth")
+    return F.broadcast(own) if own.count() <= BROADCAST_STEPS else own
+
+
+def _best(rows: DataFrame, width: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("total"), text(F.col("tokens"))))
+    return rows.withColumn("_p", place).where(F.col("_p") <= width).drop("_p")
+
+
+def _finished(live: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("total"), text(F.col("tokens"))))
+    return live.select("qid", rank.alias("rank"), text(F.col("tokens")).alias("sequence"), "total")
+
+
+def beam_search(queries: DataFrame, steps: DataFrame, score, width: int, longest: int) -> DataFrame:
+    """(qid, rank, sequence, total): the best sequences of each query among those of numbered_steps().
+
+    A level at a time: hypotheses meet the steps out of their state, by its number, each step is scored by score(qid,
+    prefix, token), and the best `width` a query are kept, finished ones among them; it ends at `longest` tokens or when no
+    hypothesis is open. Ties go by the sequence as text."""
+    none = F.array().cast("array<int>")
+    live = queries.select("qid").withColumns({"state": F.lit(0).cast("long"), "tokens": none, "total": F.lit(0.0), "open": F.lit(True)})
+    for depth in range(longest):
+        grown = live.where("open").join(_level(steps, depth), "state")
+        total = F.round(F.col("total") + score(F.col("qid"), text(F.col("tokens")), F.col("token")), 6)
+        grown = grown.select("qid", F.col("next").alias("state"), F.array_append("tokens", F.col("token")).alias("tokens"), total.alias("total"), F.col("inner").alias("open"))
+        live = checkpointed(_best(grown.unionByName(live.where("not open")), width))
+        if live.where("open").isEmpty():
+            break
+    return _finished(live)
+
+
+def generate(queries: DataFrame, steps: DataFrame, model: Callable[[], object], width: int, longest: int) -> DataFrame:
+    """beam_search() with a model that scores in batches and keeps a state of its own for each hypothesis.
+
+    model() makes one in a task, once. Its start(list of queries) gives a state (bytes) for each of queries(qid, query); its
+    step(states, tokens, allowed) takes the states of hypotheses, their last tokens (None at first) and the tokens that may
+    follow each, and gives a state after the last token and an array of scores in the order of allowed, for each. A
+    hypothesis sends no more than `width` followers on, as no more can be kept."""
+    begun = "qid string, state long, tokens array<int>, total double, open boolean, memory binary"
+
+    def start(batches):
+        m = model()
+        for batch in batches:
+            n = batch.num_rows
+            memory = m.start(batch.column("query").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), pa.array([0] * n, pa.int64()), pa.array([[]] * n, pa.list_(pa.int32())), pa.array([0.0] * n), pa.array([True] * n), pa.array(memory, pa.binary())], ["qid", "state", "tokens", "total", "open", "memory"])
+
+    def step(batches):
+        m = model()
+        for batch in batches:
+            rows = batch.to_pylist()
+            if not rows:
+                continue
+            memory, scores = m.step([r["memory"] for r in rows], [r["tokens"][-1] if r["tokens"] else None for r in rows], [[x["token"] for x in r["steps"]] for r in rows])
+            out = []
+            for r, mem, own in zip(rows, memory, scores):
+                total = np.round(r["total"] + np.asarray(own, float), 6)
+                tokens = [x["token"] for x in r["steps"]]
+                best = sorted(range(len(tokens)), key=lambda i: (-total[i], str(tokens[i])))[:width]
+                out += [{"qid": r["qid"], "state": r["steps"][i]["next"], "tokens": [*r["tokens"], tokens[i]], "total": float(total[i]), "open": r["steps"][i]["inner"], "memory": mem} for i in best]
+            yield pa.RecordBatch.from_pylist(out, batch_schema)
+
+    batch_schema = pa.schema([("qid", pa.string()), ("state", pa.int64()), ("tokens", pa.list_(pa.int32())), ("total", pa.float64()), ("open", pa.bool_()), ("memory", pa.binary())])
+    live = checkpointed(queries.select(F.col("qid").cast("string").alias("qid"), "query").mapInArrow(start, begun))
+    for depth in range(longest):
+        own = steps.where(F.col("depth") == depth)
+        follow = own.groupBy("state").agg(F.array_sort(F.collect_list(F.struct("token", "next", "inner"))).alias("steps"))
+        follow = F.broadcast(follow) if own.count() <= BROADCAST_STEPS else follow
+        grown = live.where("open").join(follow, "state").mapInArrow(step, begun)
+        live = checkpointed(_best(grown.unionByName(live.where("not open")), width))
+        if live.where("open").isEmpty():
+            break
+    return _finished(live)
 
 
 def lookup_codes(generated: DataFrame, codes: DataFrame, seed: str) -> DataFrame:

@@ -25,10 +25,10 @@ def trie_next_tokens(spark, d):
 
 @query(f"with {_TRIE}, q as (select distinct case when substr(docid, 2)::bigint % 5 = 0 then code[1] || ',99' else code[1] || ',' || code[2] end as prefix from codes) select prefix, coalesce(array_to_string(nxt, ','), '0') as next from q left join tr using (prefix)", ("codes",))
 def trie_prefix_lookup(spark, d):
-    c = F.col("code").cast("array<string>")
-    first, second = F.get(c, F.lit(0)), F.get(c, F.lit(1))
-    asked = bridge.codes(spark, d).select(F.when(F.expr("cast(substring(docid, 2) as bigint) % 5 = 0"), F.concat(first, F.lit(",99"))).otherwise(F.concat_ws(",", first, second)).alias("prefix")).distinct()
-    return trie.lookup(trie.next_tokens(_sequences(spark, d)), asked).select("prefix", trie.text(F.col("next")).alias("next"))
+    first, second = F.get("code", F.lit(0)), F.get("code", F.lit(1))
+    asked = bridge.codes(spark, d).select(F.array(first, F.when(F.expr("cast(substring(docid, 2) as bigint) % 5 = 0"), 99).otherwise(second)).alias("tokens"))
+    got = trie.following(trie.numbered_steps(_sequences(spark, d)), asked)
+    return got.select(trie.text(F.col("tokens")).alias("prefix"), trie.text(F.col("next")).alias("next"))
 
 
 @query(f"with {_TRIE} select distinct {_STR.format(x='tokens')} as sequence from sq where {_STR.format(x='tokens')} not in (select prefix from tr)", ("codes",))
@@ -55,8 +55,7 @@ _LEVEL = """g{i} as (select qid, case when l.prefix = '' then token::varchar els
 
 @query(f"with {_TRIE}, st as (select prefix, unnest(nxt) as token from tr), l0 as (select qid, '' as prefix, 0.0::double as total, true as open from queries), " + ", ".join(_LEVEL.format(i=i + 1, j=i) for i in range(4)) + " select qid, row_number() over (partition by qid order by total desc, prefix)::int as rank, prefix as sequence, total from l4", ("codes", "queries"))
 def constrained_beam(spark, d):
-    s = trie.next_tokens(_sequences(spark, d))
-    return trie.beam_search(bridge.queries(spark, d), s, toy_score, 5, 4)
+    return trie.beam_search(bridge.queries(spark, d), trie.numbered_steps(_sequences(spark, d)), toy_score, 5, 4)
 
 
 _LOOK = """gen as (select qid, rank, case when rank % 3 = 0 then array_to_string(code, ',') || ',1' when rank % 3 = 1 then array_to_string(code, ',') else '88,' || rank end as code from run join codes using (docid) where rank <= 9),
