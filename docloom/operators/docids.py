@@ -50,17 +50,6 @@ def rq_codes(vector: Column, codebooks: list[Column]) -> Column:
     return F.array(*codes)
 
 
-def rq_levels(rows: DataFrame, vector: str, codebooks: list[Column]) -> DataFrame:
-    """rows with codes: rq_codes level by level, each level a column, so that no residual is computed twice."""
-    got = rows.withColumn("_rest", F.col(vector).cast("array<double>"))
-    names = []
-    for i, book in enumerate(codebooks):
-        got = got.withColumn("_book", book).withColumn(f"_c{i}", nearest(F.col("_rest"), F.col("_book")))
-        got = got.withColumn("_rest", F.zip_with("_rest", F.get("_book", F.col(f"_c{i}")).cast("array<double>"), lambda x, y: x - y))
-        names.append(f"_c{i}")
-    return got.withColumn("codes", F.array(*names)).drop("_rest", "_book", *names)
-
-
 def sums(vectors: Column) -> Column:
     """Sum of an array of vectors of one width."""
     first = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double"))
@@ -71,11 +60,3 @@ def text_codes(tokens: Column, longest: int, end: int = 1) -> Column:
     """Token ids cut to longest - 1, and the end token."""
     return F.concat(F.slice(tokens, 1, longest - 1), F.array(F.lit(end)))
 
-
-def kmeans_codebook(vectors: DataFrame, column: str, k: int, seed: int = 42) -> list[list[float]]:
-    """k centroids by MLlib's k-means. The codebook is k vectors, whatever the data's size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
-    return [list(map(float, c)) for c in KMeans(k=k, seed=seed, maxIter=10).fit(rows).clusterCenters()]

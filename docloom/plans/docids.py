@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.functions import arrays, text
-from docloom.operators import docids
+from docloom.operators import docids, vectors
 from docloom.plans import bridge
 from docloom.plans.projections import _BLANK, _SHORT, _URL, _url_rows
 from docloom.plans.registry import query
@@ -23,18 +24,23 @@ def _ordered(spark, d, lo, hi):
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("words"))
 
 
+def _words(spark, d, lo, hi):
+    return vectors.words_of(_vectors(spark, d).where(F.col("vec_id").between(lo, hi - 1)), "vec_id", "embedding")
+
+
 def _pq(spark, d):
-    """Vectors with the codebook of each subspace, and their codes."""
+    """Vectors with their codes, and the codebook of each subspace."""
     words = _ordered(spark, d, 0, KS)
     book = words.select(F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda m: F.transform("words", lambda w: F.slice(w, m * WIDTH + 1, F.lit(WIDTH)))).alias("book"))
-    return _vectors(spark, d).join(F.broadcast(book)).withColumn("codes", docids.pq_codes(F.col("embedding"), F.col("book"), M, WIDTH))
+    return vectors.encode(_vectors(spark, d), "embedding", np.split(_words(spark, d, 0, KS), M, axis=1)).join(F.broadcast(book))
 
 
 def _rq(spark, d):
-    got = _vectors(spark, d)
+    books = [_words(spark, d, i * KS, (i + 1) * KS) for i in range(3)]
+    got = vectors.encode(_vectors(spark, d), "embedding", books, residual=True)
     for i in range(3):
         got = got.join(F.broadcast(_ordered(spark, d, i * KS, (i + 1) * KS).withColumnRenamed("words", f"book{i}")))
-    return docids.rq_levels(got, "embedding", [F.col(f"book{i}") for i in range(3)])
+    return got
 
 
 _PQ = f"""with v as (select vec_id, unnest(range({M}))::int as m, embedding::double[] as e from embeddings),
@@ -121,37 +127,54 @@ def quantization_similarity(spark, d):
     return _pq(spark, d).select("vec_id", F.round(arrays.cosine(F.col("embedding"), docids.pq_rebuilt(F.col("codes"), F.col("book"))), 6).alias("cosine"))
 
 
-@query("with c as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 9) as cosine from embeddings q join embeddings e on q.vec_id < 16 and q.vec_id <> e.vec_id) select query_id, arg_min(vec_id, (-cosine, vec_id)) as nearest, round(max(cosine), 6) as cosine from c group by 1")
-def cosine_nearest(spark, d):
+_COSINES = "with c as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 9) as cosine from embeddings q join embeddings e on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)"
+
+
+def _neighbours(spark, d, k):
+    """The query set is every vector whose id is divisible by 50, against all vectors."""
     v = _vectors(spark, d)
-    asked = F.broadcast(v.where("vec_id < 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # the stated query set
-    far = F.round(arrays.cosine(F.col("q"), F.col("embedding")), 9)
-    rows = v.join(asked, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", far.alias("cosine"))
-    best = rows.groupBy("query_id").agg(F.min_by("vec_id", F.struct(-F.col("cosine"), "vec_id")).alias("nearest"), F.max("cosine").alias("cosine"))
-    return best.select("query_id", "nearest", F.round("cosine", 6).alias("cosine"))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.neighbours(vectors.Lists(v, "vec_id", "embedding"), asked, k)
+
+
+@query(_COSINES + " select query_id, arg_min(vec_id, (-cosine, vec_id)) as nearest, round(max(cosine), 6) as cosine from c group by 1")
+def cosine_nearest(spark, d):
+    return _neighbours(spark, d, 1).select("query_id", F.col("vec_id").alias("nearest"), F.round("cosine", 6).alias("cosine"))
+
 
+@query(_COSINES + " select query_id, (row_number() over (partition by query_id order by cosine desc, vec_id))::int as rank, vec_id, round(cosine, 6) as cosine from c qualify rank <= 10")
+def vector_neighbours(spark, d):
+    return _neighbours(spark, d, 10).select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
 
-def _book_rows(spark, books):
-    rows = [(m, c, i, float(x)) for m, book in enumerate(books) for c, word in enumerate(book) for i, x in enumerate(word)]
-    return spark.createDataFrame(rows, "part int, code int, i int, v double")
 
+_FAR = "round(list_sum(list_transform(list_zip({x}, {y}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9)"
 
-@query()
+
+def _lloyd_sql(name: str, rows: str, rounds: int) -> str:
+    """CTEs of Lloyd steps over rows(vec_id, m, x) from words {name}0(m, code, x): {name}1, {name}2 and so on."""
+    out = ""
+    for r in range(1, rounds + 1):
+        out += f""", {name}n{r} as (select v.vec_id, v.m, arg_min(b.code, ({_FAR.format(x="v.x", y="b.x")}, b.code)) as code from {rows} v join {name}{r - 1} b using (m) group by 1, 2),
+ {name}s{r} as (select m, code, i, sum(floor(x * 16777216 + 0.5)::hugeint)::double / 16777216 / count(*) as v from (select n.m, n.code, generate_subscripts(v.x, 1) as i, unnest(v.x) as x from {rows} v join {name}n{r} n using (vec_id, m)) group by 1, 2, 3),
+ {name}{r} as (select b.m, b.code, coalesce(s.x, b.x) as x from {name}{r - 1} b left join (select m, code, list(v order by i) as x from {name}s{r} group by 1, 2) s using (m, code))"""
+    return out
+
+
+_SEEDED = "(select row_number() over (order by md5('{seed}|' || vec_id)) - 1 as code, * from {rows} qualify code < 16)"
+_BOOK = "select m::int as part, code::int as code, (i - 1)::int as i, round(v, 6) as v from (select m, code, generate_subscripts(x, 1) as i, unnest(x) as v from {name})"
+TRAIN_ROUNDS = 3
+
+
+@query("with v as (select vec_id, m, (embedding::double[])[m * 16 + 1 : m * 16 + 16] as x from embeddings, (select unnest(range(4)) as m)), p0 as (select m, code, x from " + _SEEDED.format(seed="42", rows="embeddings") + " join v using (vec_id))" + _lloyd_sql("p", "v", TRAIN_ROUNDS) + " " + _BOOK.format(name=f"p{TRAIN_ROUNDS}"))
 def pq_train(spark, d):
-    v = _vectors(spark, d)
-    width = 16
-    parts = [v.select(F.slice("embedding", m * width + 1, width).alias("x")) for m in range(64 // width)]
-    return _book_rows(spark, [docids.kmeans_codebook(p, "x", KS) for p in parts])
+    books = vectors.product_books(_vectors(spark, d), "vec_id", "embedding", 4, KS, TRAIN_ROUNDS)
+    return vectors.book_rows(spark, books).withColumn("v", F.round("v", 6))
+
+
+_REST = "select v.vec_id, 0 as m, list_transform(list_zip(v.x, b.x), lambda p: p[1] - p[2]) as x from (select v.vec_id, any_value(v.x) as x, arg_min(b.code, ({far}, b.code)) as code from {rows} v cross join {book} b group by 1) v join {book} b using (code)"
 
 
-@query()
+@query("with v as (select vec_id, 0 as m, embedding::double[] as x from embeddings), p0 as (select m, code, x from " + _SEEDED.format(seed="42.0", rows="v") + ")" + _lloyd_sql("p", "v", TRAIN_ROUNDS) + ", w as (" + _REST.format(far=_FAR.format(x="v.x", y="b.x"), rows="v", book=f"p{TRAIN_ROUNDS}") + "), q0 as (select m, code, x from " + _SEEDED.format(seed="42.1", rows="w") + ")" + _lloyd_sql("q", "w", TRAIN_ROUNDS) + f", z as (select 0 as m, code, x from p{TRAIN_ROUNDS} union all select 1, code, x from q{TRAIN_ROUNDS}) " + _BOOK.format(name="z"))
 def rq_train(spark, d):
-    rest = _vectors(spark, d).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    books = []
-    for _ in range(2):
-        book = docids.kmeans_codebook(rest, "x", KS)
-        books.append(book)
-        words = F.array(*(F.array(*map(F.lit, w)) for w in book))
-        near = rest.withColumn("words", words).withColumn("c", docids.nearest(F.col("x"), F.col("words")))
-        rest = near.select("vec_id", F.zip_with("x", F.get("words", F.col("c")), lambda a, b: a - b).alias("x"))
-    return _book_rows(spark, books)
+    books = vectors.residual_books(_vectors(spark, d), "vec_id", "embedding", 2, KS, TRAIN_ROUNDS)
+    return vectors.book_rows(spark, books).withColumn("v", F.round("v", 6))
