@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.joins import join_counted
 from docloom.operators.numbering import checkpointed, in_order, last_wins
 
 
@@ -13,24 +14,60 @@ def query_sets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query").agg(F.array_sort(F.collect_set("text_id")).alias("positives"))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, component) of a bipartite edge list(id, group): ids that share a group, or are linked through others, share
-    a component, named by its least id. Edges go by id and group, never between all ids of a group; every round is
-    checkpointed in the shared folder."""
-    edges = checkpointed(edges.select("id", "group").distinct())
-    labels = edges.select("id").distinct().withColumn("component", F.col("id"))
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """Edges(u, v) after a large or a small star. Large: the neighbours of a node that are greater than it go to the least
+    of its neighbours and itself. Small: a node and its lesser neighbours go to the least of these. Hubs stay split."""
+    if large:
+        both = checkpointed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    else:
+        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    facts = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count("*").alias("n")))
+    met = join_counted(both, facts, "u", "n")
+    moved = met.where("v > u" if large else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        moved = moved.unionByName(facts.select("u", F.col("m").alias("v")))
+    return checkpointed(moved.where("u <> v").distinct())
+
+
+def star_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(id, component) of every end of edges(u, v): alternating large and small stars until each node hangs on the least
+    of its component. A round counts a node's edges with partial sums and joins hubs by broadcast."""
+    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+    live, before = checkpointed(edges.select("u", "v").where("u <> v").distinct()), None
     for _ in range(most_rounds):
-        of_group = edges.join(labels, "id").groupBy("group").agg(F.min("component").alias("least"))
-        near = edges.join(of_group, "group").groupBy("id").agg(F.min("least").alias("least"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "least").alias("component"))
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("higher"))
-        done = checkpointed(lower.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("higher", "component")).alias("component")))
-        labels = done.select("id", "component")
-        if done.where("component <> old").isEmpty():
-            return labels
+        live = _stars(_stars(live, True), False)
+        mark = tuple(live.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if mark == before:
+            return checkpointed(ends.join(live.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component")))
+        before = mark
     raise RuntimeError("components did not settle")
 
 
+def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(id, component) of a bipartite edge list(id, group): ids that share a group, or are linked through others, share
+    a component, named by its least id. A group becomes a star around its least id, never links between all its ids."""
+    edges = checkpointed(edges.select("id", "group").distinct())
+    facts = checkpointed(edges.groupBy("group").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    star = join_counted(edges, facts, "group", "n").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    return star_components(star, most_rounds)
+
+
+def linked(labels: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """labels(id, component), as components() gave them, after more edges(u, v), between known ids and new ones: only the
+    components that the edges touch are joined."""
+    named = edges.select("u", "v")
+    for end in ("u", "v"):
+        named = named.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c")), end, "left")
+    touched = named.select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v"))
+    moved = star_components(touched, most_rounds)
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n")).join(moved.select(F.col("id").alias("component"), F.col("component").alias("new")), "component")
+    sizes = checkpointed(sizes.where("component <> new"))
+    changed = join_counted(labels, sizes, "component", "n").select("id", F.col("new").alias("component"))
+    same = labels.join(sizes.select("component"), "component", "left_anti").select("id", "component")
+    fresh = moved.join(labels.select("id"), "id", "left_anti").select("id", "component")
+    return checkpointed(changed.unionByName(same).unionByName(fresh))
+
+
 def multilabel_stats(sets: DataFrame) -> DataFrame:
     """One row: groups of more than one id, the largest of them (1 if none), ids in them."""
     n = F.size("positives")
