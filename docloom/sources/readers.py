@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from docloom.functions.text import normalize_docid, project_json
 from docloom.operators.numbering import last_wins
 from docloom.operators.validate import require
+from docloom.sources.splitting import json_array, numbered_lines
 
 NQ_COLUMNS = ("query", "id", "long_answer", "short_answer", "title", "abstract", "content", "document_url", "doc_tac", "language")
 INSTANCES = "input_ids array<int>, query_id string, doc_id string"
@@ -46,6 +47,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(resolve(path)).select(F.col("value").alias("line"), at.alias("at"))
 
 
+def lines_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line, path) of text files, numbered from 1 on within each."""
+    return numbered_lines(spark, resolve(path))
+
+
 def _fields(df: DataFrame, pattern: str, limit: int = -1) -> DataFrame:
     return df.withColumn("f", F.split("line", pattern, limit))
 
@@ -94,7 +100,8 @@ def nq_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Records of files that are one JSON array, or lines of JSON; bad JSON is an error that names the file.
+    """Records of files that are one JSON array of objects, or lines of JSON; bad JSON is an error, which names the file.
+    Arrays are read in as many tasks as Spark cuts their files into.
 
     Without a schema each record is a VARIANT column `record`, so that a field may be a scalar here and a list there."""
     files = resolve(path)
@@ -106,24 +113,36 @@ def json_records(spark: SparkSession, path: str, schema: str | None = None) -> D
     if rest:
         parts.append(read.json(rest))
     if arrays:
-        whole = read.option("multiLine", True).json(arrays)
-        if not schema:
-            whole = whole.select(F.explode(F.from_json(F.to_json("record"), "array<variant>")).alias("record")) if _variant_is_array(whole) else whole
-        parts.append(whole)
+        whole = json_array(spark, arrays)
+        known = F.try_parse_json("text")
+        bad = F.raise_error(F.concat(F.lit("bad JSON in "), "path"))
+        whole = whole.select(F.when(known.isNotNull(), F.col("text")).otherwise(bad).alias("text"))
+        if schema:
+            parts.append(whole.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+        else:
+            parts.append(whole.select(F.parse_json("text").alias("record")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _variant_is_array(df: DataFrame) -> bool:
-    row = df.select(F.schema_of_variant("record").alias("s")).limit(1).collect()
-    return bool(row) and row[0].s.startswith("ARRAY")
-
-
 def _first(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").select(F.substring("v", 1, 1)).limit(1).collect()
-    return row[0][0] if row else ""
+    """The first character of a file that is not blank, read by the driver from the file's first bytes, through the
+    codec that its suffix asks for."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    stream = stream if codec is None else codec.createInputStream(stream)
+    try:
+        while True:
+            some = bytes(stream.readNBytes(4096))
+            text = some.lstrip(b"\xef\xbb\xbf \t\r\n")
+            if text or not some:
+                return text[:1].decode("latin-1")
+    finally:
+        stream.close()
 
 
 def json_field(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
