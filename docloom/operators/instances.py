@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import sentences, tokenize
+from docloom.operators.bm25 import Tokenizer
+from docloom.operators.numbering import in_order
 
 END = "</s>"
 
@@ -14,12 +16,24 @@ def _ended(tokens: Column, longest: int) -> Column:
     return F.concat(F.slice(tokens, 1, longest - 1), F.array(F.lit(END)))
 
 
-def passages(docs: DataFrame, longest: int = 64, most: int = 3) -> DataFrame:
+def _cut_sentences(docs: DataFrame, cut: Tokenizer) -> DataFrame:
+    """(docid, title, sents): the tokens of the title and of each sentence that has any. The default tokenizer works within
+    the row; another one, which may be a pandas UDF, gets the sentences as rows, which docid brings together again."""
+    none = F.array().cast("array<array<string>>")
+    if cut is tokenize:
+        return docs.select("docid", tokenize("title").alias("title"), F.filter(F.transform(sentences("body"), lambda s: tokenize(s)), lambda t: F.size(t) > 0).alias("sents"))
+    each = docs.select("docid", F.posexplode(sentences("body")).alias("i", "sentence")).select("docid", "i", cut("sentence").alias("toks"))
+    own = each.where(F.size("toks") > 0).groupBy("docid").agg(in_order("toks", "i").alias("sents"))
+    whole = docs.select("docid", cut("title").alias("title"), F.col("body").isNull().alias("no_body"))
+    return whole.join(own, "docid", "left").select("docid", "title", F.when(~F.col("no_body"), F.coalesce("sents", none)).alias("sents"))
+
+
+def passages(docs: DataFrame, longest: int = 64, most: int = 3, cut: Tokenizer = tokenize) -> DataFrame:
     """(docid, n, tokens) of docs(docid, title, body): whole sentences behind the title until a passage is full, the
     one that overflows included and cut; `most` passages a document. Sentences without tokens say nothing.
 
     A fold over each document's sentences; nothing leaves the row."""
-    base = docs.select("docid", tokenize("title").alias("title"), F.filter(F.transform(sentences("body"), lambda s: tokenize(s)), lambda t: F.size(t) > 0).alias("sents"))
+    base = _cut_sentences(docs, cut)
     none = F.array().cast("array<array<string>>")
     start = F.struct(F.col("title").alias("cur"), none.alias("out"), F.lit(False).alias("open"))
 
@@ -35,12 +49,12 @@ def passages(docs: DataFrame, longest: int = 64, most: int = 3) -> DataFrame:
     return base.select("docid", F.posexplode(F.aggregate("sents", start, step, finish)).alias("n", "tokens"))
 
 
-def sampled_terms(docs: DataFrame, idf: DataFrame, longest: int = 64, first: int = 1024, least: int = 10) -> DataFrame:
-    """(docid, tokens): occurrences of a document's best terms by tf-idf, in text order. The threshold is the score of
+def sampled_terms(docs: DataFrame, idf: DataFrame, longest: int = 64, first: int = 1024, least: int = 10, cut: Tokenizer = tokenize) -> DataFrame:
+    """(docid, tokens) of docs(docid, title, body): among the first tokens of title and body, occurrences of a document's best terms by tf-idf, in text order. The threshold is the score of
     the (longest - 1)-th best occurrence; documents with fewer than `least` known occurrences, or with one distinct
     term left, have none."""
-    cut = docs.select("docid", F.slice(tokenize("body"), 1, first).alias("toks"))
-    occurrences = cut.select("docid", F.size("toks").alias("len"), F.posexplode("toks").alias("pos", "term")).join(idf.select("term", "idf"), "term")
+    whole = docs.select("docid", F.concat_ws(" ", "title", "body").alias("text"))
+    occurrences = whole.select("docid", F.slice(cut("text"), 1, first).alias("toks")).select("docid", F.size("toks").alias("len"), F.posexplode("toks").alias("pos", "term")).join(idf.select("term", "idf"), "term")
     per_term = occurrences.groupBy("docid", "term", "len", "idf").agg(F.collect_list("pos").alias("places"))
     scored = per_term.withColumn("score", F.round(F.size("places") / F.col("len") * F.col("idf"), 9))
     # the occurrences of a document are at most `first`: one row a document

@@ -25,7 +25,7 @@ def passage_chunks(spark, d):
 _TERMS = (
     _VOCAB[5:]
     + r""", idf as (select v.term, ln((select count(*) from docs) / (coalesce(x.df, 0) + 1)) as idf from v left join (select term, count(*) as df from (select distinct docid, unnest(regexp_extract_all(lower(title || ' ' || body), '[\p{L}\p{N}]+')) as term from docs) group by 1) x using (term)),
- w as (select docid, regexp_extract_all(lower(body), '[\p{L}\p{N}]+')[1:1024] as w from docs),
+ w as (select docid, regexp_extract_all(lower(concat_ws(' ', title, body)), '[\p{L}\p{N}]+')[1:1024] as w from docs),
  o as (select docid, len(w) as len, generate_subscripts(w, 1) as pos, unnest(w) as term from w),
  sc as (select docid, pos, term, round(count(*) over (partition by docid, term) / len::double * idf, 9) as score from o join idf using (term)),
  th as (select docid, count(*) as n, list(score order by score desc)[least(63, count(*))] as threshold from sc group by 1 having count(*) >= 10),

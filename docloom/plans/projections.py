@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import arrays, text
-from docloom.operators import nq, resolve, validate
+from docloom.operators import corpus, nq, resolve, validate
 from docloom.plans import bridge
 from docloom.plans.registry import query
 
@@ -205,12 +205,7 @@ _VOCAB = "with v as (select term, row_number() over (order by term) + 1 as id fr
 
 
 def vocabulary(spark, d, size=500):
-    """The most frequent terms with ids from 2 on (0 pads, 1 is the unknown)."""
-    from pyspark.sql import Window
-
-    terms = bridge.docs(spark, d).select(F.explode(F.array_distinct(text.tokenize("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
-    best = terms.orderBy(F.desc("df"), "term").limit(size)  # the vocabulary's size is a parameter
-    return best.select("term", (F.row_number().over(Window.orderBy("term")) + 1).alias("id"))
+    return corpus.frequent_terms(bridge.docs(spark, d), size)
 
 
 @query(_VOCAB + r", t as (select docid, generate_subscripts(w, 1) as i, unnest(w) as term from (select docid, regexp_extract_all(lower(title), '[\p{L}\p{N}]+') as w from docs)) select docid, string_agg(coalesce(id, 1)::varchar, ',' order by i) as ids from t left join v using (term) group by docid", ("df",))

@@ -78,6 +78,42 @@ def test_passages(spark):
     assert [r.tokens for r in got if r.docid == "e"] == [["t", "one", "two", "</s>"]]
 
 
+def test_sampled_terms_come_from_the_title_too(spark):
+    body = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([("d", "Zebra zebra", body), ("e", None, body), ("f", "Zebra", None)], "docid string, title string, body string")
+    idf = spark.createDataFrame([(w, 2.0 if w == "zebra" else 1.0) for w in [*body.split(), "zebra"]], "term string, idf double")
+    got = {r.docid: r.tokens for r in instances.sampled_terms(docs, idf, longest=4).collect()}
+    # of 13 tokens zebra's two score most; the third best is a tie of all others
+    assert got["d"][:3] == ["zebra", "zebra", "one"] and got["d"][-1] == "</s>" and "f" not in got
+    assert "zebra" not in got["e"]
+    assert {r.docid: r.tokens for r in instances.sampled_terms(docs, idf, longest=3).collect()}.get("d") is None  # one distinct term
+
+
+def test_another_tokenizer_everywhere(spark):
+    import pandas as pd
+
+    from docloom.operators import bm25, corpus
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        import re
+
+        return texts.map(lambda t: None if t is None else re.findall(r"[^\W_]+", t.lower()))
+
+    text_ = " ".join(f"{c}{i}{'.' if i % 4 == 3 else ''}" for c in "abc" for i in range(12))
+    docs = spark.createDataFrame([("d", "The Title", text_), ("e", "A", "One two. ... Three!"), ("f", "T", None), ("g", "T", ".")], "docid string, title string, body string")
+    same = lambda f: sorted(map(str, f(cut).collect())) == sorted(map(str, f(bm25.tokenize).collect())) != []
+    assert same(lambda c: instances.passages(docs, 12, 3, cut=c))
+    vocab = corpus.frequent_terms(docs, 30, 1)
+    assert same(lambda c: corpus.frequent_terms(docs, 30, 1, cut=c))
+    idf = corpus.term_idf(docs, vocab)
+    assert same(lambda c: corpus.term_idf(docs, vocab, cut=c)) and same(lambda c: corpus.term_tf(docs, cut=c))
+    assert same(lambda c: instances.sampled_terms(docs, idf, 20, cut=c))
+    # one that differs, so that it is known to be used
+    letters = lambda c: F.split(F.lower(c), "")
+    assert {len(t) for r in instances.passages(docs.where("docid = 'e'"), 12, 3, cut=letters).collect() for t in r.tokens[:-1]} <= {0, 1}
+
+
 def test_bands(spark):
     rows = spark.createDataFrame([(q, f"{q}{r}", r) for q, n in (("a", 200), ("b", 102)) for r in range(1, n + 1)], "qid string, docid string, rank int")
     quotas = [(1, 20, 3), (21, 100, 2), (101, 200, 3)]
