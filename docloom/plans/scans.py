@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions import arrays, text
 from docloom.operators import nq, numbering, runs, validate
 from docloom.plans import bridge
 from docloom.plans.registry import query
+from docloom.sources import readers, sinks
 
 
 @query("select qid, docid from clicks where n % 2 = 1", ("clicks",))
@@ -79,7 +82,16 @@ def nq_query_ids(spark, d):
     return numbering.numbered(rows, [F.col("page_id")], "query_id", 1000).select("query_id", "docid", "title")
 
 
-@query()
+_SPACED = "trim(regexp_replace(replace(replace(html, '<', ' <'), '>', '> '), '\\s+', ' ', 'g'))"
+_PLAIN = "trim(regexp_replace(replace(regexp_replace(array_to_string(list_filter(string_split(t, ' ')[{span}], lambda x: x is not null), ' '), '<[^<]+?>', '', 'g'), chr(10), ''), '\\s+', ' ', 'g'))"
+_TAGS = "trim(regexp_replace(regexp_replace({x}, '<[^<]+?>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "with n as (select title, page_id, url, " + _SPACED + " as t from ptab), f as (select title as query, page_id::varchar as id, " + _PLAIN.format(span="4 : 12") + " as long_answer, " + _PLAIN.format(span="5 : 6") + " as short_answer, "
+    + _TAGS.format(x="regexp_extract(t, '(?is)<h1[^>]*>(.*?)</h1>', 1)") + " as title, " + _TAGS.format(x="regexp_extract(t, '(?is)<p[^>]*>(.*?)</p>', 1)") + " as abstract, " + _TAGS.format(x="regexp_extract(t, '(?is)</p>(.*)</ul>', 1)") + " as content, url as document_url from n) select *, title || abstract || content as doc_tac, 'en' as language from f",
+    ("ptab",),
+)
 def nq_flatten(spark, d):
     return nq.flatten_train(nq.nested_from_pages(bridge.pages(spark, d)))
 
@@ -157,3 +169,39 @@ def json_project_skip_bad(spark, d):
     made = bridge.table(spark, d, "documents").withColumn("x", whole).select(cut.alias("line"))
     there, fields = text.project_json(F.col("line"), {"id": "id", "content": "contents"})
     return made.where(there).select(*fields)
+
+
+def _written(spark, name, write):
+    """Where write(path) put files of a layout, in the shared folder."""
+    path = f"{numbering.shared_folder(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@query("select qid, trim(regexp_replace(query, '[\t\r\n]+', ' ', 'g')) as query from queries where qid <> ''", ("queries",))
+def scan_queries_tsv(spark, d):
+    """The queries written as tab-separated lines, some twice with another text first, and read back: the last line wins."""
+    rows = bridge.queries(spark, d).select("qid", F.trim("query").alias("query"))
+    path = _written(spark, "queries", lambda p: sinks.tsv(rows.select("qid", F.lit("an older text").alias("query")).unionByName(rows).coalesce(1), p))
+    return readers.queries_tsv(spark, path)
+
+
+@query("select conv_id, turn, role, text from conversations")
+def json_records(spark, d):
+    """The turns written as JSON lines and read back as records whose fields have no kind beforehand."""
+    rows = bridge.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    record = readers.json_records(spark, _written(spark, "records", lambda p: sinks.jsonl(rows, p)))
+    return record.select(*(F.variant_get("record", f"$.{c}", kind).alias(c) for c, kind in rows.dtypes))
+
+
+@query("select conv_id, row_number() over (partition by part order by spot) as line_no, md5(line) as line from (select conv_id % 3 as part, conv_id * 1000 + turn as spot, conv_id, conv_id || ' ' || turn || ' ' || role as line from conversations)")
+def numbered_lines(spark, d):
+    """The turns written as lines of three files, in order, and numbered as they are read in ranges."""
+    rows = bridge.table(spark, d, "conversations").select((F.col("conv_id") % 3).alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), F.concat_ws(" ", "conv_id", "turn", "role").alias("line"))
+
+    def write(path):
+        for part in range(3):
+            rows.where(F.col("part") == part).orderBy("at").coalesce(1).select("line").write.text(f"{path}/{part}")
+
+    path = _written(spark, "lines", write)
+    return readers.lines_numbered(spark, f"{path}/*/part-*").select(F.substring_index("line", " ", 1).cast("long").alias("conv_id"), "line_no", F.md5("line").alias("line"))

@@ -26,13 +26,23 @@ BLANK = r"\s+"
 
 
 def resolve(uri: str) -> list[str]:
-    """Files of a path, folder, glob or hf:dataset:<name>:<file, folder/ or glob> (below $DOCLOOM_DATASETS), sorted; an error if there are none.
-    A URI with another scheme is left to Spark."""
+    """Files of a path, folder, glob or hf:dataset:<name>:<file, folder/ or glob> (below $DOCLOOM_DATASETS), sorted; an error
+    if there are none. Paths are looked up where Spark reads them: in the store that their scheme names, or the session's
+    own. Without a session, on this machine's disk."""
     if m := re.fullmatch(r"hf:dataset:([^:]+):(.*)", uri):
         uri = os.path.join(os.environ.get("DOCLOOM_DATASETS", "datasets"), m[1], m[2])
-    elif re.match(r"[a-z0-9]+://", uri):
-        return [uri]
-    if os.path.isdir(uri):
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = []
+        for status in fs.globStatus(path) or []:
+            if status.isFile():
+                found.append(status.getPath().toString())
+            else:
+                below = [s.getPath() for s in fs.listStatus(status.getPath()) if s.isFile()]
+                found += [p.toString() for p in below if p.getName()[0] not in "._"]
+    elif os.path.isdir(uri):
         found = [f for f in _glob.glob(os.path.join(uri, "*")) if os.path.isfile(f)]
     else:
         found = _glob.glob(uri)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.numbering import numbered
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     """JSON lines; returns how many, counted while they were written."""
@@ -87,3 +89,21 @@ def published(spark: SparkSession, path: str, write: Callable[[str], object]) ->
         fs.delete(old, True)
     finally:
         fs.delete(fresh, True)
+
+
+def retrieval_layout(docs: DataFrame, queries: DataFrame, truth: DataFrame, folder: str) -> None:
+    """A corpus as JSON lines (id, contents), queries as qid and text, judgements as qid, 0, docid, 1, below one folder:
+    docs(docid, contents), queries(qid, query), truth(qid, docid)."""
+    jsonl(docs.select(F.col("docid").alias("id"), "contents"), f"{folder}/corpus")
+    tsv(queries.select("qid", "query"), f"{folder}/queries")
+    tsv(truth.select("qid", F.lit(0).alias("zero"), "docid", F.lit(1).alias("rel")), f"{folder}/qrels")
+
+
+def embedding_matrix(vectors: DataFrame, path: str) -> int:
+    """Rows of a matrix as Parquet (row, docid, embedding), numbered from 0 on in order of docid, for vectors(docid,
+    embedding); returns how many rows. Vectors must have one width."""
+    widths = vectors.agg(F.min(F.size("embedding")), F.max(F.size("embedding")), F.count_if(F.col("embedding").isNull()), F.count("*")).first()
+    if widths[2] or widths[0] != widths[1]:
+        raise ValueError(f"vectors of widths {widths[0]} to {widths[1]}, {widths[2]} null")
+    numbered(vectors.select("docid", "embedding"), [F.col("docid")], "row").select("row", "docid", "embedding").write.mode("overwrite").parquet(path)
+    return widths[3]
