@@ -10,6 +10,7 @@ learn from, every text is 'und'. Rows are judged one by one, so repeated and nul
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -68,12 +69,18 @@ def grams(texts: list[str | None], n_buckets: int) -> tuple[np.ndarray, np.ndarr
 
 def train(labelled: DataFrame, n_buckets: int = 1 << 14, sample_rows: int = 20_000, max_langs: int = 256, alpha: float = 0.5) -> dict:
     """Fits on labelled(id, text, lang), of which about sample_rows are taken by a hash of the id where there are more
-    (a documented bound on what a classifier learns from; predictions read everything). Returns the model."""
+    (a documented bound on what a classifier learns from; predictions read everything), and of each language at least
+    about sample_rows / max_langs, or all that it has: a rare language is learned too, and its prior stays that of all
+    labels. Returns the model."""
     have = labelled.where("lang is not null and text is not null")
-    n = have.select("id").count()
+    sizes = {r.lang: r["count"] for r in have.groupBy("lang").count().limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages; raise max_langs")
+    n = sum(sizes.values())
     if n > sample_rows:
-        part = int(1_000_000 * sample_rows / n)
-        have = have.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1_000_000)) < part)
+        shares = {lang: max(sample_rows / n, sample_rows / max_langs / m) for lang, m in sizes.items()}
+        parts = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, min(1_000_000, math.ceil(1_000_000 * share)))))
+        have = have.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1_000_000)) < parts[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -92,12 +99,10 @@ def train(labelled: DataFrame, n_buckets: int = 1 << 14, sample_rows: int = 20_0
     sums = have.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.limit(max_langs * (n_buckets + 1) + 1).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages; raise max_langs")
     counts = np.zeros((n_buckets + 1, len(langs)))
     place = {x: i for i, x in enumerate(langs)}
     counts[got.column("bucket").to_numpy(), [place[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
-    docs, counts = counts[-1], counts[:-1] + alpha
+    docs, counts = np.array([sizes[x] for x in langs], float), counts[:-1] + alpha
     return {"langs": langs, "n_buckets": n_buckets, "prior": np.log(docs / docs.sum()) if langs else np.zeros(0), "logp": np.log(counts / counts.sum(0)) if langs else np.zeros((n_buckets, 0))}
 
 
@@ -149,13 +154,16 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataFrame:
     """The rows and columns of docs whose language is identified with min_score at least; und goes."""
-    columns = docs.columns
+    # positions stand for the columns of docs, so that no name can clash
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields]
     base = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where(~held_out(F.col("id")))
     model = train(base, **options)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    names = tuple(next(x for x in (n, *(f"{n}_{i}" for i in range(len(columns) + 1))) if x not in columns) for n in ("lang_pred", "score"))  # docs may have columns of these names
-    got = docs.mapInArrow(scorer(docs.sparkSession, model, columns, names), f"{types}, `{names[0]}` string, `{names[1]}` double")
-    return got.where((F.col(names[0]) != UND) & (F.col(names[1]) >= min_score)).select(*columns)
+    text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    sent = docs.toDF(*columns).select(*columns, F.col(columns[text]).cast("string").alias("text"))
+    kind = ", ".join(f"{c} {k}" for c, k in zip(columns, kinds))
+    got = sent.mapInArrow(scorer(docs.sparkSession, model, columns), f"{kind}, lang_pred string, score double")
+    return got.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*columns).toDF(*docs.columns)
 
 
 def crc_mod(doc_id: int) -> int:

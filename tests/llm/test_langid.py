@@ -55,3 +55,52 @@ def test_keep(spark):
     kept = keep_identified(df)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == df.columns and len(ids) > 390 and not {900, 901, 902} & set(ids)
+
+
+def test_scores_are_naive_bayes(spark):
+    """Counts, priors and posteriors one text and one language at a time; only the hash of grams is shared."""
+    import math
+    from collections import Counter
+
+    rows = corpus()
+    size, alpha = 1 << 14, 0.5
+    grams_of = lambda t: grams([t], size)[0].tolist()
+    learn = [r for r in rows if r[1] is not None and r[2] is not None and (r[0] is None or zlib.crc32(str(r[0]).encode()) % 3 != 1)]
+    langs = sorted({r[2] for r in learn})
+    counts = {x: Counter(g for r in learn if r[2] == x for g in grams_of(r[1])) for x in langs}
+    prior = {x: math.log(sum(r[2] == x for r in learn) / len(learn)) for x in langs}
+    total = {x: sum(counts[x].values()) + alpha * size for x in langs}
+    got = predict(spark.createDataFrame(rows, KINDS)).collect()
+    checked = 0
+    for r, row in zip(sorted(got, key=lambda r: str(r.doc_id)), sorted(rows, key=lambda r: str(r[0]))):
+        mine = grams_of(row[1] or "")
+        if r.lang_pred == UND or not mine or sum(x.doc_id == r.doc_id for x in got) > 1:
+            continue
+        z = {x: prior[x] + min(len(mine), 64) / len(mine) * sum(math.log((counts[x][g] + alpha) / total[x]) for g in mine) for x in langs}
+        top = max(z.values())
+        p = {x: math.exp(v - top) for x, v in z.items()}
+        best = max(langs, key=lambda x: z[x])
+        assert r.lang_pred == best and abs(r.score - p[best] / sum(p.values())) < 1e-9
+        checked += 1
+    assert checked > 390
+
+
+def test_a_rare_language_is_learned(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(SYLLABLES["aa"]) for _ in range(6)), "aa") for i in range(30_000)]
+    rare = [i for i in range(40_000, 40_020) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    rows += [(i, " ".join(rnd.choice(SYLLABLES["dd"]) for _ in range(30)), "dd") for i in rare]
+    rows.append((50_000, "жи ло ст на жило стна", None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = predict(df, sample_rows=2000).where("doc_id = 50000").first()
+    assert got.lang_pred == "dd"
+
+
+def test_keep_with_clashing_names(spark):
+    rows = [(*r[:4], 1.5, "x", True) for r in corpus()]
+    names = ["doc_id", "text", "lang", "source", "Score", "LANG_PRED", "a.b"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, s double, l string, a boolean").toDF(*names)
+    kept = keep_identified(df)
+    assert kept.columns == names and len(kept.collect()) > 390
+    again = df.toDF("doc_id", "text", "lang", "c0", "c1", "lang_pred", "score")
+    assert keep_identified(again).count() == kept.count()
