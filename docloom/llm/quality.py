@@ -34,14 +34,17 @@ RULES: dict[str, str] = {
     "long_words": "10 * n_long_words > 1 * n_words",
     "few_distinct_words": "n_words >= 50 and n_words < 2000 and 100 * n_distinct_words < 15 * n_words",
     "control_characters": "100 * n_control > word_chars",
+    "few_distinct_words_2": "n_words >= 50 and 100 * n_distinct_words < 15 * least(n_words, 2000)",
 }
 BASE = ("few_words", "repeated_windows")
 #: Policy version -> rules that reject a document. Never changed once published; a new version is added instead.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE,
     "v1": (*BASE, "symbols", "shouting", "bangs", "duplicate_lines", "word_length", "long_words", "few_distinct_words", "control_characters"),
+    # more words never save a text with few distinct ones
+    "v2": (*BASE, "symbols", "shouting", "bangs", "duplicate_lines", "word_length", "long_words", "few_distinct_words_2", "control_characters"),
 }
-PRODUCTION = "v1"
+PRODUCTION = "v2"
 
 
 def mask(policy: str) -> int:

@@ -50,3 +50,15 @@ def test_policies(spark):
         got = {r.rule: (r.n_failed, r.n_only) for r in ablation(kept, p).collect()}
         assert got == {r: (sum(b >> names.index(r) & 1 for b in bits), sum(b & mask == 1 << names.index(r) for b in bits)) for r in rules}
     assert ledger(spark.createDataFrame([], KINDS)).collect() == []
+
+
+def test_more_words_do_not_save_a_repetitive_text(spark):
+    import random
+
+    rnd = random.Random(1)
+    text = lambda n, distinct: " ".join(rnd.sample([f"word{i % distinct}" for i in range(n)], n))
+    rows = [(1, text(1990, 200)), (2, text(2010, 200)), (3, text(30_000, 299)), (4, text(2010, 301)), (5, text(1000, 151))]
+    got = {r.doc_id: (r.kept, r.fail_bits) for r in apply_policy(ledger(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    bit = 1 << list(RULES).index("few_distinct_words_2")
+    assert {d: bool(bits & bit) for d, (_, bits) in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+    assert not any(got[d][0] for d in (1, 2, 3))
