@@ -100,13 +100,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     length = F.size("item_toks")
     runs = materialise(runs.where(F.col("n_windows") >= F.greatest(F.lit(1), F.least(F.lit(min_tokens), length) - (WINDOW - 1))), "runs")
     # only the few texts with runs are read again and carried on
-    with_text = base.join(few(runs.select("row_key").distinct()), "row_key", "left_semi").dropDuplicates(["row_key"]).join(runs, "row_key")
+    with_runs = base.join(few(runs.select("row_key").distinct()), "row_key", "left_semi").dropDuplicates(["row_key"])
+    # cut into tokens once a text, not once a run: a list of numbers has as many runs as numbers
+    held = materialise(with_runs.select("row_key", "doc_id", tokens(F.col("text")).alias("toks")), "held")
     # slots of the matched stretch, from the document's own tokens
     size = F.col("last") - F.col("first") + F.least(F.lit(WINDOW), F.size("item_toks"))
     mine = F.slice("item_toks", F.col("first") + 1, size)
     theirs = F.slice("toks", F.col("first") + F.col("shift") + 1, size)
     both = F.zip_with(mine, theirs, lambda a, b: F.struct(F.regexp_replace(a, f"^{MARK}i", f"{MARK}p").alias("i"), b.alias("d")))
-    paired = with_text.withColumn("toks", tokens(F.col("text"))).withColumn("both", both)
+    paired = held.join(runs, "row_key").withColumn("both", both)
     slots = F.filter("both", lambda p: p["i"].startswith(MARK) & (F.substring(p["i"], 1, 2) == F.substring(p["d"], 1, 2)))
     paired = paired.withColumn("pairs", F.array_distinct(slots))
     one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")

@@ -225,3 +225,15 @@ def test_mix(spark):
     clash = docs.withColumns({c: F.lit(9) for c in ("_b", "_tokens", "_P", "_n", "_k", "_z", "r", "a.b")})
     same = mix(clash, lab)
     assert same.columns == clash.columns and {r["_tokens"] for r in same.collect()} == {9} and same.count() == out.count()
+
+
+def test_a_page_of_numbers(spark):
+    """As many runs as numbers: the text is cut into tokens once."""
+    import time
+
+    numbers = " ".join(str(i * 7 % 1000) for i in range(2000))
+    item = " ".join(str(i * 13 % 100) for i in range(14))
+    docs = spark.createDataFrame([(1, numbers), (2, f"{numbers} {item}")], "doc_id long, text string")
+    began = time.time()
+    got = contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(2, 9)] and time.time() - began < 30
