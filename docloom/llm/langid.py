@@ -154,15 +154,14 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataFrame:
     """The rows and columns of docs whose language is identified with min_score at least; und goes."""
-    # positions stand for the columns of docs, so that no name can clash
-    columns = [f"c{i}" for i in range(len(docs.columns))]
+    # positions stand for the columns of docs, so that no name can clash; the text goes to the scorer once
+    text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    columns = ["text" if i == text else f"c{i}" for i in range(len(docs.columns))]
     kinds = [f.dataType.simpleString() for f in docs.schema.fields]
     base = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where(~held_out(F.col("id")))
     model = train(base, **options)
-    text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
-    sent = docs.toDF(*columns).select(*columns, F.col(columns[text]).cast("string").alias("text"))
     kind = ", ".join(f"{c} {k}" for c, k in zip(columns, kinds))
-    got = sent.mapInArrow(scorer(docs.sparkSession, model, columns), f"{kind}, lang_pred string, score double")
+    got = docs.toDF(*columns).mapInArrow(scorer(docs.sparkSession, model, columns), f"{kind}, lang_pred string, score double")
     return got.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*columns).toDF(*docs.columns)
 
 
