@@ -2,10 +2,11 @@
 
 Numbers, the units that follow them, and names are replaced by typed placeholders, so a question with other values
 has the same template. Windows of eight template tokens of all documents are hash-joined with those of the
-benchmark. Hits on one diagonal of a document and an item (the same distance between their places) are one match if
-they cover `min_tokens` tokens, or the whole item where it is shorter. A match counts if its slots are consistent:
-each value of the item stands for one value of the document over the whole match; a verbatim copy maps each value to
-itself. A match of fewer than four words outside placeholders says too little and must be verbatim.
+benchmark. Hits on one diagonal of a document and an item (the same distance between their places) are one run. A
+stretch of a run, from anywhere to anywhere, is a match if its hits cover `min_tokens` tokens, or the whole item where
+it is shorter, and its slots are consistent: each value of the item stands for one value of the document over the
+stretch; a verbatim copy maps each value to itself. A stretch with fewer than four words that agree says too little and
+must be verbatim. So one value changed later, or in one place, does not hide the text around it.
 
 Digits within a word are part of it. A name is a capitalised word. In an item, those that no lower-case letter, digit
 or one of , ; : and a blank precede may begin a sentence only: its windows are read with them as names and as words,
@@ -17,7 +18,7 @@ own, of which one row is left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialise
@@ -58,11 +59,12 @@ def _readings(toks: Column) -> Column:
     return F.array_distinct(F.array(*(read(a, b) for a in (name, word) for b in (name, word))))
 
 
-def windows(rows: DataFrame, keep: list[str], toks: Column, size: int = WINDOW) -> DataFrame:
-    """keep, pos (from 0) and h for each template window of size tokens; a window's hash comes from those of its parts.
+def windows(rows: DataFrame, keep: list[str], toks: Column, size: int = WINDOW, values: bool = False) -> DataFrame:
+    """keep, pos (from 0) and h for each template window of size tokens, or with values for each window of the tokens
+    themselves; a window's hash comes from those of its parts.
 
     Each level is a column of its own, as an expression that names its operand several times is evaluated as often."""
-    got = rows.withColumn("_toks", toks).withColumn("_h1", F.transform("_toks", lambda t: F.xxhash64(_template(t))))
+    got = rows.withColumn("_toks", toks).withColumn("_h1", F.transform("_toks", lambda t: F.xxhash64(t if values else _template(t))))
     joined = lambda one, two, span, more: F.zip_with(F.slice(one, 1, more), F.slice(two, span + 1, more), lambda a, b: F.xxhash64(a, b))
     span = 1
     while span * 2 <= size:
@@ -87,35 +89,58 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     base = raw.withColumn("row_key", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text_col).cast("string"), initials=True).alias("item_toks"))
     items = items.where(F.size("item_toks") >= LEAST_ITEM).distinct().withColumn("item_key", F.xxhash64("item_id", "item_toks"))
-    read = items.select("item_key", F.size("item_toks").alias("n"), F.explode(_readings(F.col("item_toks"))).alias("reading"))
+    words = F.size(F.filter("item_toks", lambda t: ~t.startswith(MARK) | t.startswith(f"{MARK}i")))
+    read = items.select("item_key", F.size("item_toks").alias("n"), (words >= LEAST_WORDS).alias("worded"), F.explode(_readings(F.col("item_toks"))).alias("reading"))
     hits = None
-    for n in sorted({min(r.n, WINDOW) for r in read.select("n").distinct().collect() if r.n < WINDOW} | {WINDOW}):  # five lengths at most
-        want = windows(read.where(F.col("n") >= n if n == WINDOW else F.col("n") == n), ["item_key"], F.col("reading"), n)
+    # items that can match verbatim alone are met by the values too: a page of numbers is not met at every number
+    exact = ~F.col("worded")
+    for n, plain in sorted({(min(r.n, WINDOW), not r.worded) for r in read.select("n", "worded").distinct().collect()} | {(WINDOW, False)}):
+        want = windows(read.where((F.col("n") >= n if n == WINDOW else F.col("n") == n) & (exact if plain else ~exact)), ["item_key"], F.col("reading"), n, plain)
         want = few(want.where("h is not null").select("item_key", F.col("pos").alias("item_pos"), "h").distinct())
-        have = windows(base, ["row_key"], tokens(F.col("text")), n)
+        have = windows(base, ["row_key"], tokens(F.col("text")), n, plain)
         met = have.join(want, "h").select("row_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos").distinct()
         hits = met if hits is None else hits.unionByName(met)
-    runs = hits.groupBy("row_key", "item_key", "shift").agg(F.count("*").alias("n_windows"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    runs = runs.join(items, "item_key")
-    length = F.size("item_toks")
-    runs = materialise(runs.where(F.col("n_windows") >= F.greatest(F.lit(1), F.least(F.lit(min_tokens), length) - (WINDOW - 1))), "runs")
-    # only the few texts with runs are read again and carried on
+    runs = hits.groupBy("row_key", "item_key", "shift").agg(F.collect_list("item_pos").alias("at"))
+    size, least = F.least(F.lit(WINDOW), F.size("item_toks")), F.greatest(F.lit(1), F.least(F.lit(min_tokens), F.size("item_toks")) - (WINDOW - 1))
+    runs = runs.join(items, "item_key").withColumns({"least": least, "size": size})
+    runs = materialise(runs.where(F.size("at") >= F.col("least")), "runs")
+    # only the few texts with runs are read again, cut into tokens once a text; each run then meets its own places of them
     with_runs = base.join(few(runs.select("row_key").distinct()), "row_key", "left_semi").dropDuplicates(["row_key"])
-    # cut into tokens once a text, not once a run: a list of numbers has as many runs as numbers
-    held = materialise(with_runs.select("row_key", "doc_id", tokens(F.col("text")).alias("toks")), "held")
-    # slots of the matched stretch, from the document's own tokens
-    size = F.col("last") - F.col("first") + F.least(F.lit(WINDOW), F.size("item_toks"))
-    mine = F.slice("item_toks", F.col("first") + 1, size)
-    theirs = F.slice("toks", F.col("first") + F.col("shift") + 1, size)
-    both = F.zip_with(mine, theirs, lambda a, b: F.struct(F.regexp_replace(a, f"^{MARK}i", f"{MARK}p").alias("i"), b.alias("d")))
-    paired = held.join(runs, "row_key").withColumn("both", both)
-    slots = F.filter("both", lambda p: p["i"].startswith(MARK) & (F.substring(p["i"], 1, 2) == F.substring(p["d"], 1, 2)))
-    paired = paired.withColumn("pairs", F.array_distinct(slots))
-    one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    worded = F.size(F.filter("both", lambda p: ~p["d"].startswith(MARK))) >= LEAST_WORDS
-    verbatim = F.forall("pairs", lambda p: p["i"] == p["d"])
-    found = paired.where(one & (worded | verbatim))
-    return found.groupBy("row_key", "doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min(F.col("first") + F.col("shift")).alias("first_token"), F.max(F.size("pairs")).alias("n_slots"))
+    theirs = with_runs.select("row_key", "doc_id", F.posexplode(tokens(F.col("text"))).alias("place", "d"))
+    place = F.sequence(F.array_min("at"), F.array_max("at") + F.col("size") - 1)
+    mine = F.transform(place, lambda p: F.struct(p.alias("pos"), F.get("item_toks", p).alias("i"), F.array_contains("at", p).alias("starts"), F.array_contains("at", p - F.col("size") + 1).alias("ends")))
+    cells = runs.select("row_key", "item_key", "item_id", "shift", "least", F.inline(mine)).withColumn("place", F.col("pos") + F.col("shift"))
+    found = _stretches(cells.join(theirs, ["row_key", "place"]))
+    return found.groupBy("row_key", "doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.min("first_token").alias("first_token"), F.max("n_slots").alias("n_slots"))
+
+
+def _stretches(cells: DataFrame) -> DataFrame:
+    """The ends of stretches that match, of the places of all runs: (i, d) are an item's and a document's token, starts and
+    ends tell whether a hit begins or ends there.
+
+    Two neighbouring slots of one item value with two document values are a conflict. The longest consistent stretch up to
+    a place begins behind the last first half of a conflict so far; the longest verbatim one behind the last slot whose
+    values differ. What a stretch holds is what was counted up to its end, less what was counted before it began."""
+    run = ["row_key", "item_key", "shift"]
+    order = Window.partitionBy(*run).orderBy("pos")
+    i = F.regexp_replace("i", f"^{MARK}i", f"{MARK}p")
+    slot = i.startswith(MARK) & (F.substring(i, 1, 2) == F.substring("d", 1, 2))
+    word = ~F.col("d").startswith(MARK) & ((F.col("i") == F.col("d")) | (F.col("i") == F.concat(F.lit(f"{MARK}i"), "d")))
+    so_far = lambda c: F.sum(c.cast("int")).over(order)
+    counted = cells.withColumns({"slot": slot, "value": F.when(slot, i)})
+    counted = counted.withColumns({"hits": so_far(F.col("starts")), "done": so_far(F.col("ends")), "words": so_far(word), "slots": so_far(F.col("slot"))})
+    here = F.struct("pos", "hits", "words", "slots")
+    same = Window.partitionBy(*run, "value").orderBy("pos")
+    counted = counted.withColumns({"before": F.lag(here).over(same), "d_before": F.lag("d").over(same)})
+    differs = F.col("slot") & (F.col("d") != F.col("d_before"))
+    counted = counted.withColumns({"cut": F.max(F.when(differs, F.col("before"))).over(order), "cut_exact": F.max(F.when(F.col("slot") & (F.col("d") != F.col("value")), here)).over(order)})
+    held = lambda now, cut, what: F.col(now) - F.coalesce(F.col(f"{cut}.{what}"), F.lit(0))
+    enough = lambda cut: held("done", cut, "hits") >= F.col("least")
+    begin = lambda cut: F.coalesce(F.col(f"{cut}.pos") + 1, F.min("pos").over(order)) + F.col("shift")
+    of = lambda cut: F.struct(held("done", cut, "hits").alias("n_windows"), begin(cut).alias("first_token"), held("slots", cut, "slots").alias("n_slots"))
+    loose = F.when(enough("cut") & (held("words", "cut", "words") >= LEAST_WORDS), of("cut"))
+    match = F.coalesce(loose, F.when(enough("cut_exact"), of("cut_exact")))
+    return counted.select("row_key", "doc_id", "item_id", "ends", match.alias("match")).where("ends and match is not null").select("row_key", "doc_id", "item_id", "match.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -34,10 +34,11 @@ def test_leaks(spark):
     bench = spark.createDataFrame([(100, ITEM), (101, PLAIN), (102, None), (103, "too short"), (104, PLAIN), (None, "")], "item_id long, text string")
     docs = spark.createDataFrame(docs_of(rows), KINDS)
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
-    assert got == {(1, 101), (1, 104), (2, 100), (3, 100), (None, 101), (None, 104), (9, 101), (9, 104)}
+    # 4: from the second "Carol" on, 14 tokens are consistent in themselves
+    assert got == {(1, 101), (1, 104), (2, 100), (3, 100), (4, 100), (None, 101), (None, 104), (9, 101), (9, 104)}
     left = drop_contaminated(docs, bench)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id, r.text) for r in left.select("doc_id", "text").where("text is not null").collect()) == sorted(r for r in rows if r[1] is not None and r[0] and not (r[0] in (2, 3, 9) or r == rows[0]))
+    assert sorted((r.doc_id, r.text) for r in left.select("doc_id", "text").where("text is not null").collect()) == sorted(r for r in rows if r[1] is not None and r[0] and not (r[0] in (2, 3, 4, 9) or r == rows[0]))
     assert left.where("text is null").count() == 1
     assert contaminated(docs.limit(0), bench).collect() == [] and drop_contaminated(docs, bench.limit(0)).count() == len(rows)
 
@@ -57,9 +58,12 @@ def test_leaks_of_many_values_and_sentence_starts(spark):
         "so what is the capital of the old kingdom in the north?",
         pens.replace("Tom", "Kim").replace("Sara", "Lena").replace("4", "3").replace("6", "3"),
         pens.replace("Tom gives", "Bob gives"),
+        pens.replace("Tom gives", "Bob gives").replace("to Sara", "to Eva"),
+        pens.replace("gives 2 pens", "gives 5 pens").replace("are left", "were lost") + " Tom gives 6",
+        pens.replace("4 red", "8 red").replace("Sara", "Eva", 1),
     ]
     got = contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 1), (1, 1), (2, 2), (4, 3), (5, 3), (6, 4)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 1), (1, 1), (2, 2), (4, 3), (5, 3), (6, 4), (7, 4), (8, 4), (9, 4), (10, 4)}
 
 
 def test_short_and_repeated_items_and_clashing_columns(spark):
@@ -117,13 +121,16 @@ def test_leaks_against_brute_force(spark):
                 for at in place.get(tuple(r[k : k + 8]), []):
                     hits.setdefault(at - k, set()).add(k)
         for shift, hit in hits.items():
-            if len(hit) < max(1, min(13, len(item)) - 7):
-                continue
-            a, z = min(hit), max(hit) + 8
-            pairs = [(x.replace("\x02i", "\x02p"), y) for x, y in zip(item[a:z], d[a + shift : z + shift])]
-            slots = {(x, y) for x, y in pairs if x[0] == "\x02" and x[:2] == y[:2]}
-            if len({x for x, _ in slots}) == len(slots) and (sum(y[0] != "\x02" for _, y in pairs) >= 4 or all(x == y for x, y in slots)):
-                return True
+            need = max(1, min(13, len(item)) - 7)
+            lo, hi = min(hit), max(hit) + 8
+            for s in range(lo, hi):
+                for z in range(s + 8, hi + 1):
+                    pairs = [(x, x.replace("\x02i", "\x02p"), y) for x, y in zip(item[s:z], d[s + shift : z + shift])]
+                    slots = {(x, y) for _, x, y in pairs if x[0] == "\x02" and x[:2] == y[:2]}
+                    words = sum(y[0] != "\x02" and x in (y, f"\x02i{y}") for x, _, y in pairs)
+                    fits = len({x for x, _ in slots}) == len(slots) and words >= 4 or all(x == y for x, y in slots)
+                    if fits and sum(s <= k <= z - 8 for k in hit) >= need:
+                        return True
         return False
 
     have, asked = of(docs, "doc_id", False), of(bench, "item_id", True)
@@ -227,13 +234,29 @@ def test_mix(spark):
     assert same.columns == clash.columns and {r["_tokens"] for r in same.collect()} == {9} and same.count() == out.count()
 
 
+def test_a_changed_value_does_not_hide_the_text_before_it(spark):
+    item = "Tom has 6 red pens and 9 blue pens in a box, and on Monday Tom gives 6 of them away to a friend of the class."
+    bad = item.replace("gives 6", "gives 5")
+    # a conflict in the middle, less than 13 tokens on either side of it
+    short = "Sara buys 4 pens for 4 dollars and gives them all away to some friends"
+    docs = spark.createDataFrame([(1, f"x y {bad} z"), (2, short.replace("4 dollars", "5 dollars")), (3, short)], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(7, item), (8, short)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (3, 8)}
+    at = next(r for r in got if r.doc_id == 1)
+    # the longest stretch starts behind the first 6; the first begins with the text
+    assert (at.first_token, at.n_windows) == (2, 17)
+
+
 def test_a_page_of_numbers(spark):
-    """As many runs as numbers: the text is cut into tokens once."""
+    """A hundred thousand numbers in one text, against an item of numbers and one of words and numbers."""
     import time
 
-    numbers = " ".join(str(i * 7 % 1000) for i in range(2000))
+    numbers = " ".join(str(i * 7 % 1000) for i in range(100_000))
     item = " ".join(str(i * 13 % 100) for i in range(14))
-    docs = spark.createDataFrame([(1, numbers), (2, f"{numbers} {item}")], "doc_id long, text string")
+    mixed = "add all of the numbers " + " ".join(str(i * 17 % 100) for i in range(14))
+    docs = spark.createDataFrame([(1, numbers), (2, f"{numbers} {item}"), (3, mixed.replace("17", "18"))], "doc_id long, text string")
     began = time.time()
-    got = contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert [(r.doc_id, r.item_id) for r in got] == [(2, 9)] and time.time() - began < 30
+    got = contaminated(docs, spark.createDataFrame([(9, item), (10, mixed)], "item_id long, text string")).collect()
+    took = time.time() - began
+    print("took", took)
+    assert {(r.doc_id, r.item_id) for r in got} == {(2, 9), (3, 10)} and took < 90
