@@ -23,6 +23,8 @@ from docloom.llm.common import slices
 
 UND = "und"
 ORDERS = (1, 2, 3)
+#: Grams that are scored at once.
+GRAMS = 1 << 14
 #: Fixed odd multipliers of the n-gram hash, one per position.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _letters: dict[str, np.ndarray] = {}
@@ -35,36 +37,44 @@ def letter_table() -> np.ndarray:
     return _letters["t"]
 
 
-def grams(texts: list[str | None], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, starts, letters): the hashed grams of all texts end to end, where each text's begin (one more
-    than texts), and each text's count of letters. Whole texts; anything but letters counts as one blank."""
+def _folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, texts, letters): the lower-cased texts end to end, anything but letters as one blank, the text of
+    each of these code points, and each text's count of letters."""
     lowered = ["" if t is None else t.lower() for t in texts]
-    cp = np.frombuffer(("\x00" + "\x00".join(lowered) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    cp = np.frombuffer(("\x00" + "\x00".join(lowered) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
-    starts = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])[: len(lowered)]
     is_letter = letter_table()[cp]
-    at = np.repeat(np.arange(len(lowered), dtype=np.int64), sizes + 1)
-    letters = np.bincount(at, is_letter[1:], len(lowered)).astype(np.int64)
-    c = np.where(is_letter, cp, 32)
-    keep = is_letter | np.concatenate([[False], is_letter[:-1]])  # a run of blanks counts once
-    c, at = c[keep], np.concatenate([[0], at])[keep]
-    out, which = [], []
+    at = np.repeat(np.arange(len(lowered), dtype=np.int32), sizes + 1)
+    letters = np.bincount(at[is_letter[1:]], minlength=len(lowered)).astype(np.int64)
+    keep = is_letter.copy()
+    keep[1:] |= is_letter[:-1]  # a run of blanks counts once
+    return np.where(is_letter, cp, np.uint32(32))[keep], np.concatenate([np.zeros(1, np.int32), at])[keep], letters
+
+
+def _blocks(c: np.ndarray, at: np.ndarray, n_buckets: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, texts) of the grams of folded texts, of one order and about `size` places at a time; texts ascend."""
     n = len(c)
     for k in ORDERS:
-        if n < k:
-            continue
-        h = np.full(n - k + 1, k * 0x632BE59BD9B4E019 % 2**64, np.uint64)
-        for j in range(k):
-            h = (h ^ c[j : n - k + 1 + j]) * np.uint64(MIX[j])
-        h ^= h >> np.uint64(29)
-        ok = (at[: n - k + 1] == at[k - 1 :]) & (c[: n - k + 1] != 32 if k == 1 else True)
-        out.append(((h >> np.uint64(7)) % np.uint64(n_buckets))[ok].astype(np.int32))
-        which.append(at[: n - k + 1][ok])
-    if not out:
-        return np.zeros(0, np.int32), np.zeros(len(lowered) + 1, np.int64), letters
-    b, w = np.concatenate(out), np.concatenate(which)
+        for lo in range(0, n - k + 1, size):
+            hi = min(lo + size, n - k + 1)
+            h = np.full(hi - lo, k * 0x632BE59BD9B4E019 % 2**64, np.uint64)
+            for j in range(k):
+                h = (h ^ c[lo + j : hi + j]) * np.uint64(MIX[j])
+            h ^= h >> np.uint64(29)
+            ok = (at[lo:hi] == at[lo + k - 1 : hi + k - 1]) & (c[lo:hi] != 32 if k == 1 else True)
+            yield ((h >> np.uint64(7)) % np.uint64(n_buckets))[ok].astype(np.int32), at[lo:hi][ok]
+
+
+def grams(texts: list[str | None], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, starts, letters): the hashed grams of all texts end to end, where each text's begin (one more
+    than texts), and each text's count of letters. Whole texts; anything but letters counts as one blank."""
+    c, at, letters = _folded(texts)
+    got = list(_blocks(c, at, n_buckets, max(1, len(c))))
+    if not got:
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), letters
+    b, w = (np.concatenate(x) for x in zip(*got))
     order = np.argsort(w, kind="stable")
-    return b[order], np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(lowered)))]), letters
+    return b[order], np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(texts)))]), letters
 
 
 def train(labelled: DataFrame, n_buckets: int = 1 << 14, sample_rows: int = 20_000, max_langs: int = 256, alpha: float = 0.5) -> dict:
@@ -85,7 +95,7 @@ def train(labelled: DataFrame, n_buckets: int = 1 << 14, sample_rows: int = 20_0
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
+            for b in slices(batch, "text", 1 << 18):
                 langs = b.column("lang").to_pylist()
                 got, starts, _ = grams(b.column("text").to_pylist(), n_buckets)
                 for lang in set(langs):
@@ -109,12 +119,14 @@ def train(labelled: DataFrame, n_buckets: int = 1 << 14, sample_rows: int = 20_0
 def score(texts: list[str | None], model: dict, evidence: int = 64) -> tuple[list[str], np.ndarray]:
     """Language and posterior of each text. The posterior counts the mean log-likelihood as `evidence` grams at most,
     as neighbouring grams depend on each other; this keeps it apart from 0 and 1 on long texts in two languages."""
-    b, starts, letters = grams(texts, model["n_buckets"])
-    sizes = np.diff(starts)
-    sums = np.zeros((len(texts), len(model["langs"])))
+    c, at, letters = _folded(texts)
+    sizes, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model["langs"])))
+    for b, w in _blocks(c, at, model["n_buckets"], GRAMS):
+        if len(b) and len(model["langs"]):
+            (first,) = np.nonzero(np.append(True, w[1:] != w[:-1]))
+            sums[w[first]] += np.add.reduceat(model["logp"][b], first, axis=0)
+            sizes[w[first]] += np.diff(np.append(first, len(b)))
     full = sizes > 0
-    if len(b) and len(model["langs"]):
-        sums[full] = np.add.reduceat(model["logp"][b], starts[:-1][full], axis=0)
     z = sums * (np.minimum(sizes, evidence) / np.maximum(sizes, 1))[:, None] + model["prior"]
     if not len(model["langs"]):
         return [UND] * len(texts), np.zeros(len(texts))
@@ -131,7 +143,7 @@ def scorer(spark, model: dict, keep: list[str], names: tuple[str, str] = ("lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
+            for b in slices(batch, "text", 1 << 18):
                 langs, p = score(b.column("text").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(p)], [*keep, *names])
 
