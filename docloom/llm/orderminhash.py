@@ -5,21 +5,24 @@ the first). For each of many hash functions the sketch takes the two labelled sh
 keeps them in text order, so texts agree where they hold the same shingles in the same order: edit similarity rather
 than set similarity. Sketches are joined in bands; texts that share a band are candidates.
 
-Candidates are verified by a banded alignment of their labelled shingle sequences. As labels make a sequence's
-elements distinct, the best alignment is the longest increasing run of matched places; matches further from the
-diagonal than the unmatched shingles that the threshold allows lie outside the band. With L aligned of n and m,
-similarity is L / (n + m - L), at least 0.8 for a link. Shingles are compared by 32 bits there.
+Candidates are verified by a banded alignment of their words: with L words aligned of n and m, similarity is
+L / (n + m - L), at least 0.8 for a link. Pairs of words further from the diagonal than the unmatched words that the
+threshold allows lie outside the band. One edited word breaks five shingles but one word, so a pair at the threshold may
+share only four shingles in ten: bands are of one sketch each, which a pair with a tenth of its words replaced meets in
+one of 20 with probability 0.98. Words are compared by 32 bits there.
 
 Copies of a text are one node, found by a digest, and never expanded. Every pair that shares a band's bucket is of one
 class in the end, or was tested, or is ruled out by a bound, without all pairs of a bucket being formed:
 
 1. Every text is compared with its buckets' pivots: the text that meets most others, as the copies of an edited text
    meet the text itself more often than each other. Links make classes, the connected components.
-2. Buckets that hold several classes are open. What a text aligns with another is at most its shingles that any other
-   text of the open buckets holds, which one aggregation counts; texts for which that is too little for any link go.
+2. Buckets that hold several classes are open. L aligned words lie in at most n + m - 2 L + 1 unbroken runs, so two linked
+   texts share at least 5 L - 2 (n + m) - 2 runs of three words. One aggregation counts, for each text, those that any
+   other text of the open buckets holds; texts for which that is too little for any link go.
 3. The texts left in an open bucket are dealt to blocks, those of its largest class apart from the others, and blocks meet
-   blocks, but never two of the largest class. In a pair of blocks the same bound is taken again from the blocks
-   themselves; pairs of different classes that pass it, and share no earlier band, are aligned.
+   blocks, but never two of the largest class. In a pair of blocks the runs of three words that two texts share are
+   counted for all pairs at once from the runs' owners; pairs of different classes that share enough, and no earlier
+   band, are aligned.
 
 Classes are joined by the links of step 3; only the graph of classes is searched for components then.
 
@@ -43,8 +46,12 @@ from docloom.llm.common import drop_table, materialise, slices
 from docloom.llm.components import components
 from docloom.llm.substrings import Words
 
-SHINGLE, TAKEN, ROWS, BANDS, SIMILARITY = 5, 2, 2, 20, 0.8
-#: Bytes of shingles in a block of an open bucket.
+SHINGLE, TAKEN, ROWS, BANDS, SIMILARITY = 5, 2, 1, 20, 0.8
+#: Words in a run, for bounds.
+RUN = 3
+#: Places of a text that are aligned as one number.
+BITS = 4096
+#: Bytes of words in a block of an open bucket.
 BLOCK_BYTES = 1 << 19
 #: The most candidates' ids that are broadcast (about 60 bytes each); beyond it texts are joined by shuffle.
 MOST_BROADCAST = 300_000
@@ -73,6 +80,22 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
     return [labelled(roll[a : max(z - size + 1, a)]) for a, z in zip(starts.tolist(), w.upto.tolist(), strict=True)]
 
 
+def runs(words: np.ndarray) -> np.ndarray:
+    """The labelled runs of three words of a text given as word hashes."""
+    w = words.astype(np.uint64)
+    if len(w) < RUN:
+        return w[:0]
+    h = w[: len(w) - RUN + 1].copy()
+    for k in range(1, RUN):
+        h = mixed(h * np.uint64(0x8EBC6AF09C88C6E3) + w[k : len(w) - RUN + 1 + k])
+    return labelled(h)
+
+
+def least_runs(words, least: float):
+    """Runs of three words that two texts of `words` words together share at least, if they are linked."""
+    return ((2 * RUN - 1) * least / (1 + least) - (RUN - 1)) * words - (RUN - 1) - 1e-9
+
+
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     x = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return x[:n], x[n:] | np.uint64(1)
@@ -101,45 +124,75 @@ def sketch(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned share of two labelled shingle sequences, 0 where the band shows that it is below least."""
+def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The most words of a and b that align at most `band` places from the diagonal (or a few more places).
+
+    The row of the alignment table over BITS places of a is one number whose zero bits are the steps of the row; a word of
+    b changes it by one addition, whose carry goes to the next places of a."""
+    total, rows = 0, b.tolist()
+    carry = bytearray(len(rows))
+    full = (1 << BITS) - 1
+    for start in range(0, len(a), BITS):
+        places: dict[int, int] = {}
+        for k, x in enumerate(a[start : start + BITS].tolist()):
+            places[x] = places.get(x, 0) | 1 << k
+        ones = (1 << min(BITS, len(a) - start)) - 1 if len(a) - start < BITS else full
+        width = ones.bit_length()
+        lo, hi = max(0, start - band), min(len(rows), start + width + band)
+        v, out = ones, bytearray(len(rows))
+        for j in range(lo, hi):
+            u = v & places.get(rows[j], 0)
+            if u or carry[j]:
+                up = v + u + carry[j]
+                out[j] = up >> width
+                v = (up | (v - u)) & ones
+        total += width - v.bit_count()
+        carry = out
+    return total
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the aligned share of two texts, given as word hashes, is at least `least`."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
-        return 0.0
-    need = least * (n + m) / (1 + least)
-    band = n + m - 2 * need
-    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    sa, sb = a[order_a], b[order_b]
-    at = np.minimum(np.searchsorted(sb, sa), m - 1)
-    hit = sb[at] == sa
-    pa_, pb = order_a[hit], order_b[at[hit]]
-    inside = np.abs(pa_ - pb) <= band
-    pa_, pb = pa_[inside], pb[inside]
-    if len(pa_) < need - 1e-9:
-        return 0.0
-    seq = pb[np.argsort(pa_, kind="stable")]
-    up = np.diff(seq) > 0
-    if up.all():
-        aligned = len(seq)
-    else:
-        tails: list[int] = []
-        for x in seq.tolist():
-            k = bisect_left(tails, x)
-            if k == len(tails):
-                tails.append(x)
-            else:
-                tails[k] = x
-        aligned = len(tails)
-    return aligned / (n + m - aligned)
+        return False
+    need = least * (n + m) / (1 + least) - 1e-9
+    k = min(n, m)
+    same = a[:k] == b[:k]
+    first = k if same.all() else int(same.argmin())
+    a, b, k = a[first:], b[first:], k - first
+    same = a[len(a) - k :][::-1] == b[len(b) - k :][::-1]
+    last = k if same.all() else int(same.argmin())
+    a, b = a[: len(a) - last], b[: len(b) - last]
+    need -= first + last
+    if need <= 0:
+        return True
+    if min(len(a), len(b)) < need:
+        return False
+    # as sets of labelled words the texts share at least what aligns; if that is in one order, it aligns
+    x, y = labelled(a.astype(np.uint64)), labelled(b.astype(np.uint64))
+    by = np.argsort(y, kind="stable")
+    at = np.minimum(np.searchsorted(y[by], x), len(y) - 1)
+    hit = y[by][at] == x
+    if np.count_nonzero(hit) < need:
+        return False
+    tails: list[int] = []
+    for p in by[at[hit]].tolist():
+        k = bisect_left(tails, p)
+        if k == len(tails):
+            tails.append(p)
+        else:
+            tails[k] = p
+    return len(tails) >= need or aligned(a, b, int(len(a) + len(b) - 2 * need) + 1) >= need
 
 
 def _sketches(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                seqs = shingles(b.column("text").to_pylist())
-                got = [sketch(s, bands, rows) if len(s) else None for s in seqs]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("worded"), pa.array([len(s) for s in seqs], pa.int32()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "key", "worded", "size", "bands"])
+                texts = b.column("text").to_pylist()
+                got = [sketch(s, bands, rows) if len(s) else None for s in shingles(texts)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("worded"), pa.array(Words(texts).counts, pa.int32()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "key", "worded", "size", "bands"])
 
     return run
 
@@ -147,15 +200,17 @@ def _sketches(bands: int, rows: int):
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch, "text", 1 << 20):
-            got = [(s >> np.uint64(32)).astype("<u4").tobytes() for s in shingles(b.column("text").to_pylist())]
+            w = Words(b.column("text").to_pylist())
+            short, starts = (w.hash >> np.uint64(32)).astype("<u4"), w.upto - w.counts
+            got = [short[a:z].tobytes() for a, z in zip(starts.tolist(), w.upto.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(got, pa.binary())], ["key", "seq"])
 
 
 def _verifier(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = [similarity(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), least) for x, y in zip(batch.column("seq_a"), batch.column("seq_b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], ["a", "b", "sim"])
+            near = [alike(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), least) for x, y in zip(batch.column("seq_a"), batch.column("seq_b"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
     return run
 
@@ -178,10 +233,10 @@ def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch, "seq", 1 << 20):
-            seqs = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column("seq")]
+            seqs = [(runs(np.frombuffer(x.as_buffer(), "<u4")) >> np.uint64(32)).astype("<u4").view("<i4") for x in b.column("seq")]
             key = b.column("key").take(pa.array(np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])))
             yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate(seqs))], ["key", "s"])
 
@@ -193,10 +248,11 @@ def open_buckets(cells: DataFrame, labels: DataFrame, texts: DataFrame, least: f
     named = cells.select("band", "h", "key", "size").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     several = lambda df: df.join(materialise(df.groupBy("band", "h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band", "h"), "several"), ["band", "h"])
     still = materialise(several(named), "open")
-    rows = texts.join(still.select("key").distinct(), "key", "left_semi").mapInArrow(_shingle_rows, "key binary, s int")
+    rows = texts.join(still.select("key").distinct(), "key", "left_semi").mapInArrow(_run_rows, "key binary, s int")
     held = rows.groupBy("s").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    # aligned at most size - alone, and the other text is no shorter than that
-    may = still.join(held, "key", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= least * F.col("size") - 1e-9).drop("alone")
+    # the other text's words are between these
+    fewest = F.least(*(least_runs(F.col("size") * (1 + x), least) for x in (least, 1 / least)))
+    may = still.join(held, "key", "left").where(F.col("size") - (RUN - 1) - F.coalesce("alone", F.lit(0)) >= fewest).drop("alone")
     left = materialise(several(may), "pool")
     drop_table(still)
     largest = left.groupBy("band", "h", "label").agg(F.count("*").alias("n")).groupBy("band", "h").agg(F.max(F.struct("n", "label")).alias("top"))
@@ -225,21 +281,19 @@ def link_blocks(group: pa.Table, least: float) -> pa.Table:
     class_of = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
     sizes = np.array([len(x) for x in seqs])
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    # of each member, the shingles that any member of another class on the other side holds
-    shingle, who = np.concatenate(seqs), np.repeat(np.arange(len(seqs)), sizes)
-    number = np.unique(shingle, return_inverse=True)[1]
-
-    def shared(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-        low, high = np.full(int(number.max()) + 1, len(seqs)), np.full(int(number.max()) + 1, -1)
-        there = theirs[who]
-        np.minimum.at(low, number[there], class_of[who[there]])
-        np.maximum.at(high, number[there], class_of[who[there]])
-        here = mine[who]
-        foreign = (high[number[here]] >= 0) & ((low[number[here]] != class_of[who[here]]) | (high[number[here]] != class_of[who[here]]))
-        return np.bincount(who[here][foreign], minlength=len(seqs))
-
-    side = [own == i, own == j]
-    most = np.where(side[0], shared(side[0], side[1]), shared(side[1], side[0]))
+    # the owners of each run of three words on the other side
+    grams = [runs(x) for x in seqs]
+    other = np.nonzero(own == j)[0]
+    held, owner = np.concatenate([grams[k] for k in other]) if len(other) else np.empty(0, np.uint64), np.repeat(other, [len(grams[k]) for k in other])
+    by = np.argsort(held, kind="stable")
+    held, owner = held[by], owner[by]
+
+    def shared(x: int) -> np.ndarray:
+        lo = np.searchsorted(held, grams[x])
+        n = np.searchsorted(held, grams[x], "right") - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return np.bincount(owner[at], minlength=len(seqs))
+
     up = list(range(int(class_of.max()) + 1))
 
     def root(x: int) -> int:
@@ -249,14 +303,12 @@ def link_blocks(group: pa.Table, least: float) -> pa.Table:
         return x
 
     found = []
-    other = np.nonzero(side[1])[0]
-    for x in np.nonzero(side[0])[0].tolist():
+    for x in np.nonzero(own == i)[0].tolist():
         y = other[other > x] if i == j else other
-        need = least * (sizes[x] + sizes[y]) / (1 + least) - 1e-9
-        y = y[(class_of[y] != class_of[x]) & (np.minimum(most[x], most[y]) >= need)]
+        y = y[(class_of[y] != class_of[x]) & (shared(x)[y] >= least_runs(sizes[x] + sizes[y], least))]
         y = y[~(bands[y, :band] == bands[x, :band]).any(1)]
         for k in y.tolist():
-            if root(class_of[x]) != root(class_of[k]) and similarity(seqs[x], seqs[k], least) >= least:
+            if root(class_of[x]) != root(class_of[k]) and alike(seqs[x], seqs[k], least):
                 found.append((key[x], key[k]))
                 up[root(class_of[x])] = root(class_of[k])
     return pa.table({c: pa.array([f[n] for f in found], pa.binary()) for n, c in enumerate("ab")})
@@ -289,12 +341,12 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: f
     rank = F.struct(-F.col("meets"), F.xxhash64("key"))
     firsts = F.min(F.struct(rank.alias("rank"), F.col("key").alias("pivot"), F.col("size").alias("pivot_size")))
     pivots = materialise(cells.groupBy("band", "h").agg(firsts.alias("p")).select("band", "h", "p.pivot", "p.pivot_size"), "pivots")
-    # sizes further apart than the threshold allows rule a pair out, as in similarity()
+    # sizes further apart than the threshold allows rule a pair out, as in alike()
     near = F.least("size", "pivot_size") >= F.lit(least) * F.greatest("size", "pivot_size")
     met = cells.join(pivots, ["band", "h"]).where((F.col("key") != F.col("pivot")) & near).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     one, two = texts.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), texts.select(F.col("key").alias("b"), F.col("seq").alias("seq_b"))
-    judged = met.join(one, "a").join(two, "b").mapInArrow(_verifier(least), "a binary, b binary, sim double")
-    links = materialise(judged.where(F.col("sim") >= least).select("a", "b"), "pairs")
+    judged = met.join(one, "a").join(two, "b").mapInArrow(_verifier(least), "a binary, b binary, near boolean")
+    links = materialise(judged.where("near").select("a", "b"), "pairs")
     labels = components(links)
     drop_table(links)
     # 2. and 3. what is left in open buckets

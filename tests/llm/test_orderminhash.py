@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.orderminhash import keep_first_of_class, near_classes, shingles, similarity
+from docloom.llm.orderminhash import aligned, alike, keep_first_of_class, least_runs, near_classes, runs, shingles
 
 KINDS = "doc_id long, text string, lang string, source string, key int, label string"
 
@@ -30,9 +32,13 @@ def corpus():
     return [(*r, "en", "s", 1, "x") for r in rows]
 
 
+def words(text):
+    return np.array([xxhash.xxh32_intdigest(x) for x in text.split()], np.uint32)
+
+
 def brute(rows):
     texts = sorted({r[1] for r in rows if r[1] and r[1].split()})
-    seqs = shingles(texts)
+    seqs = [words(t) for t in texts]
     up = list(range(len(texts)))
 
     def find(i):
@@ -42,7 +48,7 @@ def brute(rows):
 
     for i in range(len(texts)):
         for j in range(i):
-            if similarity(seqs[i], seqs[j]) >= 0.8:
+            if min(len(seqs[i]), len(seqs[j])) >= 5 and alike(seqs[i], seqs[j]):
                 up[find(i)] = find(j)
     groups = {}
     for r in rows:
@@ -60,21 +66,28 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_similarity_is_lcs():
+def test_alike_is_lcs(monkeypatch):
+    from docloom.llm import orderminhash
+
     rnd = random.Random(5)
-    for _ in range(200):
-        a = [f"{rnd.randrange(60)}" for _ in range(rnd.randint(8, 60))]
-        b = list(a)
-        for _ in range(rnd.randint(0, 3)):
-            k = rnd.randrange(len(b))
-            b[k : k + rnd.randint(0, 2)] = [f"{rnd.randrange(60)}" for _ in range(rnd.randint(0, 2))]
-        x, y = shingles([" ".join(a), " ".join(b)])
-        if not len(x) or not len(y):
-            continue
-        n = lcs(x.tolist(), y.tolist())
-        want = n / (len(x) + len(y) - n)
-        got = similarity(x, y)
-        assert got == want if want >= 0.8 else got < 0.8
+    both = set()
+    for bits in (4096, 7):
+        monkeypatch.setattr(orderminhash, "BITS", bits)
+        for _ in range(600):
+            vocabulary = rnd.choice([2, 8, 60])
+            a = [f"{rnd.randrange(vocabulary)}" for _ in range(rnd.randint(1, 60))]
+            b = list(a)
+            for _ in range(rnd.randint(0, 8)):
+                k = rnd.randrange(len(b) + 1)
+                b[k : k + rnd.randint(0, 2)] = [f"{rnd.randrange(vocabulary)}" for _ in range(rnd.randint(0, 2))]
+            x, y, n = words(" ".join(a)), words(" ".join(b)), lcs(a, b)
+            assert aligned(x, y, len(a) + len(b)) == n
+            want = bool(b) and n / (len(a) + len(b) - n) >= 0.8 - 1e-12
+            assert alike(x, y) == want
+            if want:
+                assert len(np.intersect1d(runs(x), runs(y))) >= least_runs(len(a) + len(b), 0.8)
+            both.add(want)
+    assert both == {False, True}
 
 
 def test_classes(spark):
@@ -154,6 +167,24 @@ def test_recall_on_real_text_with_planted_edits(spark):
     assert all(got[i] == want[t] for i, t in rows if want[t][1] == 1)
 
 
+def test_recall_where_words_are_edited(spark):
+    # a twentieth and a tenth of the words replaced, each by another; all are alike by their words
+    rnd = random.Random(14)
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and 60 < len(r.text.split()) < 600]
+    rows, pairs = [(i, t) for i, t in enumerate(real)], {}
+    for share in (0.01, 0.05, 0.1):
+        for i in rnd.sample(range(len(real)), 40):
+            w = real[i].split()
+            for k in rnd.sample(range(len(w)), int(len(w) * share)):
+                w[k] = f"e{rnd.randrange(9999)}"
+            if alike(words(real[i]), words(" ".join(w))):
+                pairs.setdefault(share, []).append((i, len(rows)))
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for share, of in pairs.items():
+        assert len(of) > 30 and sum(got[a] == got[b] for a, b in of) >= 0.9 * len(of), share
+
+
 def test_clashing_columns_and_long_texts(spark):
     rnd = random.Random(13)
     long = " ".join(f"u{rnd.randrange(10**6)}" for _ in range(150_000))
