@@ -157,7 +157,8 @@ def candidates(index: Index, queries: DataFrame, k: int, k1: float, b: float) ->
     names = terms.select("term").distinct()
     names = F.broadcast(names) if terms.count() <= BROADCAST_TERMS else names
     slim = index.postings.select("term", "block", F.size("docs").alias("n"), index.part("top_tf", "low_len", k1, b).alias("top"))
-    bounds = checkpointed(slim.join(names, "term", "left_semi"))
+    # a block may lie in two rows of a term, where a batch or a file ended: it counts once, with the greater bound
+    bounds = checkpointed(slim.join(names, "term", "left_semi").groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("top").alias("top")))
     per_term = bounds.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top"))
     idf = F.log(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = checkpointed(terms.join(per_term, "term").select("qid", "term", "df", idf.alias("idf"), (idf * F.col("top")).alias("most")))

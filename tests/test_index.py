@@ -32,6 +32,22 @@ def test_search_is_the_plain_search(spark, tmp_path):
     assert sorted(index.search(ix, queries, 5, 2.16, 0.61).collect()) == sorted(bm25.top_k(queries, docs, 5, 2.16, 0.61).collect())
 
 
+def test_blocks_cut_by_batches(spark, tmp_path):
+    """Where a batch ends inside a block, a term has two rows of it, and each of its postings counts once."""
+    _, docs = corpus(spark)
+    queries = spark.createDataFrame([("q1", "w50 w51 w0"), ("q2", "w0"), ("q3", "w1 w2 w3 w30 w40 w59")], "qid string, query string")
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        index.build(docs, str(tmp_path / "ix"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    ix = index.Index(spark, str(tmp_path / "ix"))
+    assert not ix.postings.groupBy("term", "block").count().where("count > 1").isEmpty()
+    for k in (1, 5, 40, 1000):
+        assert sorted(index.search(ix, queries, k).collect()) == sorted(bm25.top_k(queries, docs, k).collect())
+
+
 def test_few_pairs_are_scored(spark, tmp_path):
     """Rare words decide; common ones alone never reach the threshold."""
     rnd = random.Random(2)
