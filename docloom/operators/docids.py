@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrays import squared_distance
-from docloom.operators.numbering import numbered
+from docloom.operators.numbering import checkpointed, numbered
 
 VOCAB = 32128
+#: Vectors that are asked for, up to which mean_embedding broadcasts them, and sums that one of its tasks holds.
+BROADCAST_VECTORS, SUMS = 50_000, 1 << 19
 
 
 def atomic(docs: DataFrame, order: str, vocab: int = VOCAB) -> DataFrame:
@@ -17,10 +19,20 @@ def atomic(docs: DataFrame, order: str, vocab: int = VOCAB) -> DataFrame:
 
 
 def mean_embedding(keyed: DataFrame, vectors: DataFrame, seed_id: int) -> DataFrame:
-    """(docid, i, v): mean of the seed vector and the vectors of a document's distinct tokens, by dimension from 1 on."""
-    own = keyed.join(vectors, "vec_id").select("docid", "embedding")
-    seed = keyed.select("docid").distinct().join(F.broadcast(vectors.where(F.col("vec_id") == seed_id).select("embedding")))
-    rows = own.unionByName(seed).select("docid", F.posexplode("embedding").alias("p", "x"))
+    """(docid, i, v): mean of the seed vector and the vectors of a document's distinct tokens, by dimension from 1 on.
+    What is shuffled are lists of ids, a document each: up to BROADCAST_VECTORS vectors that are asked for go to all tasks;
+    more of them are joined and shuffled whole, a row a vector. Dimensions are told apart where the sums are, SUMS a task."""
+    named = checkpointed(keyed.groupBy("docid").agg(F.concat(F.collect_list("vec_id"), F.array(F.lit(seed_id).cast("long"))).alias("ids")))
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    tasks = max(1, -(-named.count() * width // SUMS))
+    asked = checkpointed(named.select(F.explode("ids").alias("vec_id")).distinct())
+    vectors = vectors.select("vec_id", "embedding")
+    each = F.explode("ids").alias("vec_id")
+    if asked.count() <= BROADCAST_VECTORS:
+        met = named.repartition(tasks, "docid").select("docid", each).join(F.broadcast(vectors.join(F.broadcast(asked), "vec_id", "left_semi")), "vec_id")
+    else:
+        met = named.select("docid", each).join(vectors, "vec_id").select("docid", "embedding").repartition(tasks, "docid")
+    rows = met.select("docid", F.posexplode("embedding").alias("p", "x"))
     return rows.groupBy("docid", (F.col("p") + 1).alias("i")).agg(F.avg(F.col("x").cast("double")).alias("v"))
 
 

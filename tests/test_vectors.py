@@ -1,9 +1,11 @@
 """Codebooks, codes and nearest neighbours in blocks, against numpy over all rows."""
 
+import random
+
 import numpy as np
 import pytest
 
-from docloom.operators import vectors
+from docloom.operators import docids, vectors
 
 
 def made(spark, n=400, width=24, seed=1):
@@ -101,3 +103,23 @@ def test_far_lists_are_not_read(spark):
         to = np.linalg.norm(index.coarse - q, axis=1)
         read.append(sum(max(to[n] - far, near - to[n], 0) <= 0.2 for n, (_, near, far) in index.facts.items()))
     assert sum(read) < 0.5 * len(read) * len(index.facts)
+
+
+def test_mean_embedding_shuffles_no_dimensions(spark, monkeypatch):
+    """Means by brute force, whether vectors are broadcast or joined; rows are not dealt by document and dimension."""
+    rnd = random.Random(4)
+    vecs = {i: [rnd.randint(-50, 50) / 4 for _ in range(6)] for i in range(12)}
+    keyed = [(f"d{rnd.randint(0, 30)}", rnd.choice([*range(12), 99])) for _ in range(200)] + [("e", 3), ("e", 3), ("e", 0), ("f", 99), ("g", None)]
+    want = {}
+    for doc in {k for k, _ in keyed}:
+        own = [vecs[0], *(vecs[v] for k, v in keyed if k == doc and v in vecs)]
+        want.update({(doc, i + 1): round(sum(v[i] for v in own) / len(own), 9) for i in range(6)})
+    vectors = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<float>")
+    rows = spark.createDataFrame(keyed, "docid string, vec_id long").repartition(3)
+    for most in (50_000, 0):
+        monkeypatch.setattr(docids, "BROADCAST_VECTORS", most)
+        monkeypatch.setattr(docids, "SUMS", 40)
+        got = docids.mean_embedding(rows, vectors, 0)
+        assert {(r.docid, r.i): round(r.v, 9) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(docid" in x and "ENSURE_REQUIREMENTS" in x]
