@@ -6,22 +6,19 @@ query, the k-th best score known so far, and leaves out terms, blocks and docume
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokenize
-from docloom.operators.bm25 import BROADCAST_TERMS, Tokenizer
+from docloom.operators.bm25 import BROADCAST_TERMS, SLACK, TOKENS, Tokenizer, pieces
+from docloom.operators.bm25 import starts as _starts
 from docloom.operators.numbering import checkpointed
 from docloom.sources import manifest
 
 #: Documents of a block, as bits of a document number: numbers go from 0 on within a partition of the index.
 BLOCK_BITS = 6
-#: Scores are rounded to six digits before they are ranked: bounds closer than this decide nothing.
-SLACK = 1e-5
 _DOCS = "docid string, contents string, len int, tf map<string,int>"
 _POSTINGS = "term string, block long, docs array<int>, tfs array<int>, lens array<int>, places array<array<int>>, top_tf int, low_len int"
 
@@ -35,19 +32,20 @@ def _counted(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.A
     return doc, terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), place, terms.dictionary, lengths
 
 
-def _starts(*keys: np.ndarray) -> np.ndarray:
-    """Where a run of equal keys begins."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    return np.nonzero(np.concatenate([[True], reduce(np.logical_or, (k[1:] != k[:-1] for k in keys))]))[0]
-
-
 def _offsets(starts: np.ndarray, n: int) -> pa.Array:
     return pa.array(np.concatenate([starts, [n]]).astype(np.int32))
 
 
-def _forward(batches):
+def _parts(batches, blocks: bool = False):
+    """Slices of batches of about TOKENS tokens, of whole blocks if asked for."""
     for batch in batches:
+        lengths = batch.column("toks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, z in pieces(lengths, TOKENS, batch.column("docno").to_numpy() >> BLOCK_BITS if blocks else None):
+            yield batch.slice(a, z - a)
+
+
+def _forward(batches):
+    for batch in _parts(batches):
         doc, term, _, names, lengths = _counted(batch.column("toks"))
         order = np.lexsort((term, doc))
         doc, term = doc[order], term[order]
@@ -59,7 +57,7 @@ def _forward(batches):
 
 
 def _blocks(batches):
-    for batch in batches:
+    for batch in _parts(batches, True):
         docno = batch.column("docno").to_numpy()
         doc, term, place, names, lengths = _counted(batch.column("toks"))
         block = docno >> BLOCK_BITS

@@ -48,6 +48,22 @@ def test_blocks_cut_by_batches(spark, tmp_path):
         assert sorted(index.search(ix, queries, k).collect()) == sorted(bm25.top_k(queries, docs, k).collect())
 
 
+def test_tasks_hold_few_tokens(spark, tmp_path, monkeypatch):
+    """An index is made of slices of a batch, of whole blocks, and is the same index."""
+    import pyarrow as pa
+
+    rows = [(i + 30, ["a", "b", "a"] * (i % 7)) for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"docid": [str(n) for n, _ in rows], "contents": [" ".join(t) for _, t in rows], "toks": [t for _, t in rows], "docno": [n for n, _ in rows]})
+    whole = pa.Table.from_batches(index._blocks([batch])).sort_by([("term", "ascending"), ("block", "ascending")])
+    docs = pa.Table.from_batches(index._forward([batch]))
+    seen, plain = [], index._counted
+    monkeypatch.setattr(index, "TOKENS", 500)
+    monkeypatch.setattr(index, "_counted", lambda toks: (seen.append(len(toks.flatten())), plain(toks))[1])
+    assert pa.Table.from_batches(index._blocks([batch])).sort_by([("term", "ascending"), ("block", "ascending")]).combine_chunks().equals(whole.combine_chunks())
+    assert pa.Table.from_batches(index._forward([batch])).combine_chunks().equals(docs.combine_chunks())
+    assert len(seen) > 8 and max(seen) < 500 + 64 * 18 and len(whole) == 2 * 7
+
+
 def test_few_pairs_are_scored(spark, tmp_path):
     """Rare words decide; common ones alone never reach the threshold."""
     rnd = random.Random(2)
