@@ -307,3 +307,11 @@ def test_hooks(spark):
     one, none = hooks.preference_tokens(pairs, lambda c: F.transform(text.tokenize(c), F.length), 3).orderBy("n").collect()
     assert (one.prompt_input_ids, one.prompt_attention_mask, one.chosen_labels, one.rejected_labels) == ([3, 3, 1], [1, 1, 1], [7, 8], [9])
     assert none.prompt_input_ids == [1]
+
+
+def test_judgements_are_searched_once(spark):
+    """A plan over judgements reads what was written, not the texts again."""
+    from docloom.plans import bridge
+
+    plan = bridge.qrels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "LogicalRDD" in plan
