@@ -180,3 +180,17 @@ def test_plain_search_holds_few_pairs(spark):
     _, docs = corpus(spark)
     plan = bm25.top_k(spark.createDataFrame([("q", "w0 w1")], "qid string, query string"), docs, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate [qid" not in plan
+
+
+def test_rows_given_on_do_not_grow(spark):
+    """Eight times the documents, copies among them, in as many tasks: the ranking reads no more rows than k a query and task, twice."""
+    k, asked = 5, spark.createDataFrame([("a", "w0 w1"), ("b", "w2 w0")], "qid string, query string")
+    terms = asked.selectExpr("qid", "explode(split(query, ' ')) as term")
+    texts = [" ".join(f"w{random.Random(i).randint(0, 9)}" for i in range(j, j + 20 + j % 7)) for j in range(400)]
+    pairs, given = [], []
+    for times in (1, 8):
+        rows = [(f"d{n}-{i}", x if n % 2 else f"{x} {n}") for n in range(times) for i, x in enumerate(texts)]
+        docs = spark.createDataFrame(rows, "docid string, contents string").repartition(2)
+        pairs.append(bm25._joined(terms, docs, 0.82, 0.68, bm25.tokenize).count())
+        given.append(bm25._told(terms, docs, k, 0.82, 0.68, bm25.tokenize).count())
+    assert pairs[1] > 7 * pairs[0] > 2000 and max(given) <= 2 * k * 2 * 2
