@@ -194,3 +194,55 @@ def test_rows_given_on_do_not_grow(spark):
         pairs.append(bm25._joined(terms, docs, 0.82, 0.68, bm25.tokenize).count())
         given.append(bm25._told(terms, docs, k, 0.82, 0.68, bm25.tokenize).count())
     assert pairs[1] > 7 * pairs[0] > 2000 and max(given) <= 2 * k * 2 * 2
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_index_shuffles_little(spark, tmp_path):
+    """A build moves neither texts nor postings; a search moves postings of its terms once, however many queries share them."""
+    rnd = random.Random(4)
+    rows = [(f"d{i}", " ".join(f"w{int(rnd.paretovariate(0.6))}" for _ in range(80))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "docid string, contents string").repartition(8).cache()
+    docs.count()
+    began = shuffled(spark)
+    index.build(docs, str(tmp_path / "ix"))
+    built = shuffled(spark) - began
+    assert built < 0.02 * sum(len(text) for _, text in rows)
+    ix, moved = index.Index(spark, str(tmp_path / "ix")), []
+    for n in (5, 100):
+        asked = spark.createDataFrame([(f"q{i}", "w1 w2 w3") for i in range(n)], "qid string, query string")
+        began = shuffled(spark)
+        got = sorted(index.search(ix, asked, 1).collect())
+        moved.append(shuffled(spark) - began)
+        assert got == sorted(bm25.top_k(asked, docs, 1).collect()) and len(got) == n
+    assert moved[1] < 3 * moved[0]
+
+
+def test_search_in_groups_and_slices(spark, tmp_path, monkeypatch):
+    """More terms than go to all tasks at once, slices of few sums, and copies that tie: the same ranks."""
+    _, docs = corpus(spark)
+    odd = docs.unionByName(spark.createDataFrame([*((f"t{i}", "w0 w50") for i in range(150))], docs.schema))
+    queries = [("q1", "w50 w51 w0"), ("q2", "w0"), ("q3", "nothing here"), ("q4", "w1 w2 w3 w30 w40 w59"), ("q5", ""), ("q6", None)]
+    asked = spark.createDataFrame(queries, "qid string, query string")
+    index.build(odd, str(tmp_path / "ix"))
+    ix = index.Index(spark, str(tmp_path / "ix"))
+    want = [sorted(bm25.top_k(asked, odd, k).collect()) for k in (3, 1000)]
+    for name, value in (("BROADCAST_TERMS", 4), ("PARTS", 50), ("WAITING", 20)):
+        monkeypatch.setattr(index, name, value)
+    assert [sorted(index.search(ix, asked, k).collect()) for k in (3, 1000)] == want
+
+
+def test_blocks_are_whole():
+    """Rows of a block that lie in several batches meet in one."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"block": x}) for x in ([0, 0, 1], [1, 1], [], [1], [2], [3, 3, 4])]
+    batches = [b.cast(pa.schema([("block", pa.int64())])) if not len(b) else b for b in batches]
+    got = [b.column("block").to_pylist() for b in index._whole_blocks(batches)]
+    assert sum(got, []) == [0, 0, 1, 1, 1, 1, 2, 3, 3, 4]
+    assert all(x[-1] != y[0] for x, y in zip(got, got[1:])) and len(got) > 2
